@@ -114,7 +114,7 @@ def links(fps: DataFrame, most: int = 4, segments: int = 3) -> DataFrame:
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     groups = stored(groups, "simhash-keys")
     two = groups.filter(f"n = 2 and bit_count(a ^ b) <= {most}").select("a", "b")
-    large = keys.join(groups.filter("n > 2").select("key", "n"), "key")
+    large = keys.join(groups.filter("n > 2").select("key", "n").hint("merge"), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = large.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
     # a block meets every block once: pair (i, j), i <= j, gets the rows of i and of j
