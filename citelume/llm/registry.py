@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import decontamination, fingerprint, mixing, simhash, token_shards
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash_near_dedup": lambda spark, d: simhash.query(table(spark, d, "documents")),
+        "op6_decontamination": lambda spark, d: decontamination.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op7_token_shards": lambda spark, d: token_shards.query(table(spark, d, "documents")),
+        "op8_document_fingerprints": lambda spark, d: fingerprint.query(table(spark, d, "documents")),
         "op9_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     }
 
