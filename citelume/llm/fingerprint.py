@@ -17,7 +17,7 @@ from .common import batches, mixed
 #: Components of a fingerprint: the likeness's standard error is at most 1 / (2 * sqrt(SAMPLES)), 0.0625.
 SAMPLES = 64
 #: Texts fingerprinted at once share their terms' random numbers; memory follows this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def _weights(text: str) -> Counter[bytes]:
@@ -130,7 +130,7 @@ def in_order(docs: DataFrame, rows: int = 8192) -> DataFrame:
     edges = docs.sparkSession.createDataFrame([(k, v) for k, v in halo.items()] or [(0, -1)], "id bigint, to int")
     more = keyed.join(F.broadcast(edges), "id").withColumn("part", F.col("to")).drop("to")
     every = keyed.withColumn("halo", F.lit(0)).unionByName(more.withColumn("halo", F.lit(1)))
-    return every.repartition(max(1, len(order)), "part").sortWithinPartitions(F.col("part"), "halo", F.col("id").desc(), "text")
+    return every.repartitionById(max(1, len(order)), F.col("part")).sortWithinPartitions(F.col("part"), "halo", F.col("id").desc(), "text")
 
 
 def _above(column: F.Column, cuts: list[int]) -> F.Column:
