@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, mixing, pii, quality, simhash, token_shards, url_filter
+from . import decontamination, fingerprint, line_dedup, mixing, pii, quality, simhash, suffix_tree, token_shards, url_filter
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
+        "op2_suffix_tree_scoring": lambda spark, d: suffix_tree.query(table(spark, d, "documents")),
         "op3_personal_data": lambda spark, d: pii.query(table(spark, d, "documents")),
         "op4_quality_classifier": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op5_simhash_near_dedup": lambda spark, d: simhash.query(table(spark, d, "documents")),
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op9_source_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL}
