@@ -31,23 +31,26 @@ def _fingerprint(words: list[bytes], shingle: int) -> int:
     return int(np.packbits(2 * set_bits > len(parts), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each text's word shingles, repeats counted; 0 for a text without words.
+def fingerprints(docs: DataFrame, shingle: int = 4, second: int | None = None) -> DataFrame:
+    """(doc_id, fp, second): the 64-bit SimHash of each text's word shingles, repeats counted; 0 for a text without words.
+    second: that of shingles of `second` words (0 if None).
 
     Words are of the ASCII lower-cased text. Shingles hash by XXH64 with seed 42; a text of fewer words is one shingle.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(source):
-            fp = [_fingerprint((t or b"").lower().split(), shingle) for t in raw(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            words = [(t or b"").lower().split() for t in raw(b.column("text"))]
+            fp = [_fingerprint(w, shingle) for w in words]
+            more = [_fingerprint(w, second) if second else 0 for w in words]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(more, pa.int64())], names=["doc_id", "fp", "second"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, second bigint")
 
 
 def _keys(fps: DataFrame, segments: int) -> DataFrame:
-    """(key, fp): for each of 64 bits, the fingerprint's segment around it without it; the bit's number is part of the key."""
+    """(key, id, fp, second): for each of 64 bits, the fingerprint's segment around it without it; the bit's number is part of the key."""
     cuts = [64 * i // segments for i in range(segments + 1)]
     masks, lows = [], []
     for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -56,9 +59,9 @@ def _keys(fps: DataFrame, segments: int) -> DataFrame:
             masks.append(mask - (1 << 64) if mask >> 63 else mask)
             lows.append(lo)
     bits = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(m).cast("long").alias("m"), F.lit(lo).alias("lo")) for i, (m, lo) in enumerate(zip(masks, lows, strict=True))])
-    each = fps.select("fp", F.explode(bits).alias("v"))
+    each = fps.select("id", "fp", "second", F.explode(bits).alias("v"))
     # the bit's number lies above the segment's at most 33 bits
-    return each.select(F.expr("shiftrightunsigned(fp & v.m, v.lo) | shiftleft(v.i, 40)").alias("key"), "fp")
+    return each.select(F.expr("shiftrightunsigned(fp & v.m, v.lo) | shiftleft(v.i, 40)").alias("key"), "id", "fp", "second")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -80,18 +83,19 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal key (sorted) that differ in at most `most` bits."""
+def _compare(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, seconds: np.ndarray, most: int, second_most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids of equal key (sorted) whose fingerprints differ in at most `most` bits, the second ones in second_most."""
     found_a, found_b, at, d = [], [], np.arange(len(keys)), 1
     while True:
         at = at[at + d < len(keys)]
         at = at[keys[at + d] == keys[at]]
         if not len(at):
             break
-        x, y = fps[at], fps[at + d]
-        ok = np.bitwise_count((x ^ y).view(np.uint64)) <= most
-        found_a.append(x[ok])
-        found_b.append(y[ok])
+        ok = at[np.bitwise_count((fps[at] ^ fps[at + d]).view(np.uint64)) <= most]
+        if second_most < 64:
+            ok = ok[np.bitwise_count((seconds[ok] ^ seconds[ok + d]).view(np.uint64)) <= second_most]
+        found_a.append(ids[ok])
+        found_b.append(ids[ok + d])
         d += 1
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -100,65 +104,86 @@ def _compare(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray,
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame, most: int = 4, segments: int = 3) -> DataFrame:
-    """(a, b): links among the distinct fingerprints in fps, enough of them to join all that differ in at most `most` bits.
+def links(fps: DataFrame, most: int = 4, segments: int = 3, second_most: int = 64) -> DataFrame:
+    """(a, b): ids of linked fingerprints, enough links to join all that differ in at most `most` bits.
 
-    Of fewer segments than `most` + 1, one differs in at most one bit as long as most < 2 * segments; so two linked
-    fingerprints share a one-wildcard variant of that segment. A key of two fingerprints is compared at once. Larger ones
-    are dealt out as pairs of blocks of about BLOCK fingerprints, so no task gets a whole hot key, and a task returns a
+    fps: id, fp and second, a row for each distinct pair of fp and second; second fingerprints must differ in at most
+    second_most bits too. Of fewer segments than `most` + 1, one differs in at most one bit as long as most < 2 * segments;
+    so two linked fingerprints share a one-wildcard variant of that segment. A key of two rows is compared at once. Larger
+    ones are dealt out as pairs of blocks of about BLOCK rows, so no task gets a whole hot key, and a task returns a
     spanning forest of what it finds, not all pairs of a group.
     """
     if most >= 2 * segments:
         raise ValueError("some pair within `most` bits would differ in two bits of every segment")
     keys = _keys(fps, segments)
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    row = F.struct("id", "fp", "second")
+    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(row).alias("x"), F.max(row).alias("y")).filter("n > 1")
     groups = stored(groups, "simhash-keys")
-    two = groups.filter(f"n = 2 and bit_count(a ^ b) <= {most}").select("a", "b")
+    two = groups.filter(f"n = 2 and bit_count(x.fp ^ y.fp) <= {most} and bit_count(x.second ^ y.second) <= {second_most}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     large = keys.join(groups.filter("n > 2").select("key", "n").hint("merge"), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
+    dealt = large.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     # a block meets every block once: pair (i, j), i <= j, gets the rows of i and of j
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    cell = F.xxhash64("key", "i", "j")
-    dealt = dealt.select(cell.alias("cell"), "fp")
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "fp", "second")
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(n, "cell").sortWithinPartitions("cell")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.zeros((4, 0), np.int64)
 
         def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             rows = _forest(a, b)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
         for batch in source:
-            cells = np.concatenate([cells, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(cells) < 1 << 18:
+            held = np.concatenate([held, [c.to_numpy(zero_copy_only=False) for c in batch.columns]], axis=1)
+            if held.shape[1] < 1 << 18:
                 continue
-            whole = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on
-            yield out(*_compare(cells[:whole], fp[:whole], most))
-            cells, fp = cells[whole:], fp[whole:]
-        yield out(*_compare(cells, fp, most))
+            whole = int(np.searchsorted(held[0], held[0, -1]))  # the last cell may go on
+            yield out(*_compare(*held[:, :whole], most, second_most))
+            held = held[:, whole:]
+        yield out(*_compare(*held, most, second_most))
 
     return two.unionByName(dealt.mapInArrow(run, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, segments: int = 3, second: int | None = None, second_most: int = 64) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints link, directly or through others, share the smallest doc_id.
 
+    second: words in the shingles of a second fingerprint, which linked documents must share but for second_most bits.
     Copies and equal fingerprints meet as one node. Nulls: a null text has no words and fingerprint 0, linked like any
     other; a null doc_id keeps its row and never becomes a component_id unless its component has no other. Repeated rows
     each keep their row. No documents give no rows; other columns are ignored.
     """
-    signed = stored(fingerprints(docs, shingle), "simhash")
-    nodes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    joined = stars(links(nodes.select("fp"), most, segments))
-    labelled = nodes.join(joined.withColumnRenamed("a", "fp"), "fp", "left").withColumn("label", F.coalesce("b", "fp")).drop("b")
+    signed = stored(fingerprints(docs, shingle, second), "simhash").withColumn("id", F.xxhash64("fp", "second") if second else F.col("fp"))
+    nodes = stored(signed.groupBy("id", "fp", "second").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    joined = stars(links(nodes.select("id", "fp", "second"), most, segments, second_most))
+    labelled = nodes.join(joined.withColumnRenamed("a", "id"), "id", "left").withColumn("label", F.coalesce("b", "id")).drop("b")
     smallest = labelled.groupBy("label").agg(F.min("node").alias("component_id"))
-    components = labelled.join(smallest, "label").select("fp", "component_id")
-    return signed.join(components, "fp").select("doc_id", "fp", "component_id")
+    components = labelled.join(smallest, "label").select("id", "component_id")
+    return signed.join(components, "id").select("doc_id", "fp", "component_id")
+
+
+#: For whole pipelines: fingerprints of word pairs within 7 bits are candidates, as those of texts are whose five-word
+#: shingles are alike by 0.8 or more; those shingles' own fingerprints confirm them.
+CANDIDATES = {"shingle": 2, "most": 7, "segments": 4, "second": 5, "second_most": 14}
+
+
+def distinct_documents(docs: DataFrame, **how: int) -> DataFrame:
+    """docs with one document of each group of near-duplicates: that of the smallest doc_id. Parameters: CANDIDATES.
+
+    Rows of equal doc_id are one document: one of them stays. Rows of a null doc_id stay, as nothing names them.
+    """
+    found = near_duplicates(docs, **(CANDIDATES | how))
+    rest = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    gone = stored(rest.filter("doc_id <> component_id or rows > 1"), "simhash-gone")
+    kept = docs.join(gone.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    again = gone.filter("doc_id = component_id and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
