@@ -111,8 +111,12 @@ def fitted(rows: list[np.ndarray], targets: np.ndarray, epochs: int = 16, batch:
     width, bias, gb = WIDTH, 0.0, 1.0
     if rows:
         docs, bad = float(len(rows)), float(targets.sum())
-        every, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        with_, with_bad = np.bincount(every, minlength=WIDTH).astype(float), np.bincount(every, targets[owner], WIDTH)
+        with_, with_bad = np.zeros(WIDTH, np.int64), np.zeros(WIDTH)
+        for at in range(0, len(rows), 256):  # a few rows at a time: the driver's memory is small
+            some = rows[at : at + 256]
+            columns = np.concatenate(some)
+            with_ += np.bincount(columns, minlength=WIDTH)
+            with_bad += np.bincount(columns, np.repeat(targets[at : at + 256], [len(r) for r in some]), WIDTH)
         g2 = np.zeros(WIDTH)
         for seen, all_ in ((with_bad, bad), (with_ - with_bad, docs - bad)):
             for n, total in ((seen, with_), (all_ - seen, docs - with_)):
@@ -183,8 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
             some = [(i, t) for i, t in zip(ids, raw(b.column("text")), strict=True) if i in target]
             yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in some], pa.string()), "features": pa.array([np.sort(Measures(t).features()).astype("<i4").tobytes() for _, t in some], pa.binary())})
 
-    rows = sorted({(r["id"], bytes(r["features"])) for r in plain.mapInArrow(featured, "id string, features binary").toLocalIterator()})
-    weights, bias = fitted([np.frombuffer(f, "<i4").astype(np.int64) for _, f in rows], np.array([wanted.value[i] for i, _ in rows]))
+    found_rows = plain.mapInArrow(featured, "id string, features binary").filter("features is not null").toLocalIterator(prefetchPartitions=True)
+    rows = sorted({(r["id"], bytes(r["features"])) for r in found_rows})
+    weights, bias = fitted([np.frombuffer(f, "<i4") for _, f in rows], np.array([wanted.value[i] for i, _ in rows]))
     return weights, bias, {"prior": prior, "accuracies": {n: table[j].tolist() for j, n in enumerate(LABELLERS)}, "patterns": len(found), "sample": len(rows)}
 
 
