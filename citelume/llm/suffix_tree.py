@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import batches, mixed, raw, stored
 
-#: Longest context; least count of a context and of a next word that has counts of its own; absolute discount; least gain
-#: in nats of a kept context.
+#: Longest context; least count of a context and of a next word that has counts of its own, and their least shares of all
+#: training tokens; absolute discount; least gain in nats of a kept context.
 DEPTH, CONTEXT, NEXT, DISCOUNT, GAIN = 2, 32, 8, 0.75, 5.0
+CONTEXT_SHARE, NEXT_SHARE = 1e-5, 2e-6
 #: Bytes of text in a block (one document at least), and of text for each bucket.
-BLOCK, BUCKET = 12 << 20, 16 << 20
+BLOCK, BUCKET = 8 << 20, 16 << 20
 END = b"\n"
 #: Documents whose crc32 of the id's text has this remainder by 7 are held out.
 HELD = 2
@@ -88,7 +89,7 @@ def _encode(docs: DataFrame, buckets: int) -> DataFrame:
             words = [words[i] for i in order]
             counts = np.bincount(seq[train], minlength=len(words)).astype("<u4")
             bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)).astype("<u4")
-            yield _rows([(block, 0, 0, _pack(ids, np.array(lens, "<u4"), np.array(held), _planes(seq), _planes(bucket)), None, None)])
+            yield _rows([(block, 0, 0, _pack(ids, np.array(lens, "<u4"), np.array(held), _planes(seq), _planes(bucket)), int(train.sum()), None)])
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for r in range(buckets):
@@ -136,8 +137,8 @@ def _owned(requests: DataFrame, buckets: int) -> DataFrame:
     return requests.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
 
 
-def _words(requests: DataFrame, buckets: int) -> DataFrame:
-    """Kind 2: corpus-wide training counts of a block's words in a bucket, and the hashes of those with NEXT or more; kind 9: a bucket's totals."""
+def _words(requests: DataFrame, buckets: int, least: float) -> DataFrame:
+    """Kind 2: corpus-wide training counts of a block's words in a bucket, and the hashes of those counted `least` times or more; kind 9: a bucket's totals."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _grouped(source, "bucket"):
@@ -152,7 +153,7 @@ def _words(requests: DataFrame, buckets: int) -> DataFrame:
             yield _rows([(-1, 9, bucket, None, sum(total.values()), sum(1 for c in total.values() if c))])
             for block, words in asked:
                 counts = np.fromiter((total[w] for w in words), "<u8", len(words))
-                often = counts >= NEXT
+                often = counts >= least
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w, o in zip(words, often.tolist(), strict=True) if o), "<u8", int(often.sum()))
                 yield _rows([(block, 2, bucket, _pack(_planes(counts), hashes), None, None)])
 
@@ -167,13 +168,13 @@ def _bucket_of(context: np.ndarray, word: np.ndarray, count: np.ndarray, hot: fl
 class _Block:
     """A block's documents with what is known of them: probabilities by the longest kept state so far."""
 
-    def __init__(self, rows: list[tuple[int, int, int, bytes]], totals: tuple[int, int], hot: float, buckets: int, tables: list[dict[int, float]]) -> None:
+    def __init__(self, rows: list[tuple[int, int, int, bytes]], totals: tuple[int, int, float, float], hot: float, buckets: int, tables: list[dict[int, float]]) -> None:
         kinds: dict[int, dict[int, bytes]] = {}
         for _, kind, bucket, payload in rows:
             kinds.setdefault(kind, {})[bucket] = payload
         self.ids, self.lens, self.held, seq, bucket = _unpack(kinds[0][0])
         self.seq, bucket = _unplaned(seq, "<u4").astype(np.int64), _unplaned(bucket, "<u4")
-        self.n, self.v = totals
+        self.n, self.v, next_least, self.context_least = totals
         self.hot, self.buckets = hot, buckets
         count, word = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.uint64)
         by = np.argsort(bucket, kind="stable")
@@ -182,7 +183,7 @@ class _Block:
             c, h = _unpack(payload)
             at = by[edges[r] : edges[r + 1]]
             count[at] = _unplaned(c, "<u8")
-            word[at[count[at] >= NEXT]] = h
+            word[at[count[at] >= next_least]] = h
         self.count = count[self.seq]
         self.word = word[self.seq]
         starts = np.cumsum(self.lens.astype(np.int64)) - self.lens
@@ -193,7 +194,7 @@ class _Block:
         self.depth = 0
         self.state = np.zeros(len(self.seq), np.int8)  # words in the longest kept suffix
         self.live = np.ones(len(self.seq), bool)  # its context of the depth so far was kept
-        self.seen = np.where(self.count >= CONTEXT, self.count, 0)  # how often the context that ends here was counted
+        self.seen = np.where(self.word != 0, self.count, 0)  # how often the context that ends here was counted
         for kind in sorted(k for k in kinds if k >= 10):
             self.deepen()
             self.answer({r: _unpack(p) for r, p in kinds[kind].items()}, tables[kind - 10])
@@ -207,7 +208,7 @@ class _Block:
         far = np.zeros(len(self.seq), np.uint64)
         far[d:] = self.word[:-d] if d < len(self.seq) else far[d:]
         self.context = mixed(far + self.context * _ODD + np.uint64(d))
-        self.live &= (self.place >= d) & (before >= CONTEXT) & (far != 0)
+        self.live &= (self.place >= d) & (before >= self.context_least) & (far != 0)
         self.before = before
         at = np.flatnonzero(self.live)
         keys = self.context[at]
@@ -354,7 +355,9 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     buckets = int(-(-size // BUCKET) or 1)
     encoded = stored(_encode(plain, buckets), "lm-blocks")
     blocks = encoded.filter("kind = 0")
-    words = stored(_words(encoded.filter("kind = 1"), buckets), "lm-words")
+    n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    leasts = max(NEXT, NEXT_SHARE * n), max(CONTEXT, CONTEXT_SHARE * n)
+    words = stored(_words(encoded.filter("kind = 1"), buckets, leasts[0]), "lm-words")
     n, v = words.filter("kind = 9").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     hot = max(n / (4 * buckets), CONTEXT)
     tasks = max(buckets, 1)
@@ -363,7 +366,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         sent = spark.sparkContext.broadcast(list(tables))
 
         def ask(rows: list, sent=sent) -> Iterator[pa.RecordBatch]:
-            block = _Block(rows, (n, v), hot, buckets, sent.value)
+            block = _Block(rows, (n, v, *leasts), hot, buckets, sent.value)
             block.deepen()
             for bucket, payload in block.requests():
                 yield _rows([(rows[0][0], 3, bucket, payload, None, None)])
@@ -377,7 +380,7 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     id_type = None if kind not in ("bigint", "int", "string") else {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def finish(rows: list) -> Iterator[pa.RecordBatch]:
-        b = _Block(rows, (n, v), hot, buckets, sent.value)
+        b = _Block(rows, (n, v, *leasts), hot, buckets, sent.value)
         starts = np.cumsum(b.lens.astype(np.int64)) - b.lens
         add = lambda x: np.add.reduceat(x, starts)
         yield pa.RecordBatch.from_pydict({
