@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored, text_of
 
+#: Bits of a filter that tells which hashes may recur: 16 MB at any input size. Where it fills up, more rows move for nothing.
+BITS = 1 << 27
 #: A boundary follows one line in MODULUS by its rolling hash; a line of more than LONG words is a chunk of its own.
 MODULUS, LONG = 3, 50
 
 
+def _key() -> F.Column:
+    """A row's key: doc_id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), "text")
+
+
 def _chunked(docs: DataFrame, modulus: int, long: int) -> DataFrame:
     """docs with lines, key (of doc_id and text) and chunks: (start, end) line numbers, end inclusive."""
     lined = docs.withColumn("text", text_of()).withColumn("lines", F.split("text", "\n", -1))
-    lined = lined.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), "text"))
+    lined = lined.withColumn("key", _key())
     # a line's hash: 32 bits of its MD5; the rolling hash joins it to the line before
     lined = lined.withColumn("h", F.expr("transform(lines, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint))"))
     lined = lined.withColumn("long", F.expr(rf"transform(lines, x -> length(x) > {long} and regexp_count(x, r'{WORD}') > {long})"))
@@ -31,33 +38,60 @@ def _pieces(chunked: DataFrame) -> DataFrame:
     return each.withColumn("h1", F.xxhash64("chunk"))
 
 
+def _bit(hash_: str) -> tuple[F.Column, F.Column]:
+    at = F.pmod(F.col(hash_), F.lit(BITS)) + 1
+    return F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+
+
+def _filter(hashes: DataFrame, hash_: str) -> DataFrame:
+    """(bucket, bits): a bit for each hash; BITS / 32768 rows of 4 KB at most."""
+    bucket, bit = _bit(hash_)
+    return stored(hashes.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits")), "line-filter")
+
+
+def _marked(df: DataFrame, hash_: str, bits: DataFrame) -> DataFrame:
+    """df with may: whether the filter has the row's hash."""
+    bucket, bit = _bit(hash_)
+    byte = F.conv(F.hex(F.substring("bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    out = df.withColumn("bucket", bucket).withColumn("_bit", bit).join(F.broadcast(bits), "bucket", "left")
+    may = F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1")
+    return out.withColumn("_byte", F.coalesce(byte, F.lit(0))).withColumn("may", may).drop("bucket", "bits", "_bit", "_byte")
+
+
 def dedup_lines(docs: DataFrame, modulus: int = MODULUS, long: int = LONG) -> DataFrame:
     """docs with n_lines, n_removed (lines) and text without repeated chunks; n_lines and n_removed replace columns so named.
 
     Lines end at \\n. Boundaries depend on a line and the one before (and on long lines), so equal passages are cut alike
     wherever they stand; a chunk of several lines, or one line of more than `long` words, that stands elsewhere too is
     removed but for its first place, by doc_id (null last), then text's hash, then line. Hashes only choose candidates:
-    chunks are equal if their bytes are.
+    chunks are equal if their bytes are. Other columns stay, whatever their names.
 
     Hot chunks are met by partial aggregates and skew joins; texts move once, to be joined with what goes. Nulls: a null
     text is empty (one empty line, nothing removed); a null doc_id keeps its row. Rows of equal doc_id and text count as
     one document and get the same result. No documents give no rows.
     """
-    plain = docs.drop("n_lines", "n_removed")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).withColumn("doc_id", F.col("_row.doc_id")).withColumn("text", text_of("_row.text"))
     pieces = _pieces(_chunked(plain.select("doc_id", "text"), modulus, long))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
-    spots = pieces.groupBy("h1").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h1")
-    again = stored(pieces.join(stored(spots, "line-hashes"), "h1", "left_semi"), "line-chunks")
+    spots = stored(pieces.groupBy("h1").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h1"), "line-hashes")
+    # of the chunks' texts, those that recur move
+    again = _marked(pieces, "h1", _filter(spots, "h1")).filter("may").drop("may").join(spots, "h1", "left_semi")
+    again = stored(again, "line-chunks")
     first = again.groupBy("h1", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "chunk", "first")
     gone = again.join(first, ["h1", "chunk"]).filter(place != F.col("first"))
-    gone = gone.groupBy("key").agg(F.collect_set("start").alias("gone"))
-    whole = _chunked(plain, modulus, long).join(gone, "key", "left")
+    gone = stored(gone.groupBy("key").agg(F.collect_set("start").alias("gone")), "line-gone")
+    # of the documents, those that lose lines move
+    keyed = _marked(plain.withColumn("key", _key()), "key", _filter(gone, "key"))
+    whole = keyed.filter("not may").withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
+    cut = _chunked(keyed.filter("may").join(gone, "key", "left"), modulus, long)
     dropped = F.expr("filter(chunks, c -> gone is not null and array_contains(gone, c.start))")
-    whole = whole.withColumn("dropped", dropped).withColumn("n_lines", F.size("lines").cast("long"))
-    whole = whole.withColumn("n_removed", F.expr("aggregate(dropped, 0L, (n, c) -> n + c.end - c.start + 1)"))
+    cut = cut.withColumn("dropped", dropped).withColumn("n_lines", F.size("lines").cast("long"))
+    cut = cut.withColumn("n_removed", F.expr("aggregate(dropped, 0L, (n, c) -> n + c.end - c.start + 1)"))
     rest = F.expr("""if(size(dropped) = 0, text, array_join(flatten(transform(filter(chunks, c -> not array_contains(gone, c.start)),
                      c -> slice(lines, c.start + 1, c.end - c.start + 1))), '\n'))""")
-    return whole.withColumn("text", rest).select(*plain.columns, "n_lines", "n_removed")
+    names = [*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns], F.col("n_lines"), F.col("n_removed")]
+    return whole.select(names).unionByName(cut.withColumn("text", rest).select(names))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, epo
     size. Sources without words have target 0. No rows give no rows. Other columns stay, but for the names given here,
     which are replaced.
     """
-    sized = docs.withColumn("size", (n_words() if size is None else size).cast("long")).drop("source_size", "target", "copies", "_h", "_bin")
+    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "source", (n_words() if size is None else size).cast("long").alias("size"))
     sized = sized.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sized = sized.withColumn("_bin", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * bins / 2**32).cast("int"))
     binned = sized.groupBy("source", "_bin").agg(F.sum("size").alias("size"))
@@ -79,7 +80,8 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, epo
     others = others.withColumn("more", F.when(F.col("_bin") < F.col("last_bin"), 1).otherwise(0))
     both = reduce(DataFrame.unionByName, (inside, others))
     more = F.when((F.col("more") == 1) & (F.col("want") > 0), 1).otherwise(0)
-    return both.withColumn("copies", (F.col("reps") + more).cast("long")).drop("_h", "_bin", "_key", "reps", "want", "last_bin", "last_start", "start", "more")
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in columns]
+    return both.select(*kept, "size", "source_size", "target", (F.col("reps") + more).cast("long").alias("copies"))
 
 
 def _small(plan: DataFrame, most: int = 100_000) -> DataFrame:
