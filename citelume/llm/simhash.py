@@ -109,23 +109,24 @@ def links(fps: DataFrame, most: int = 4, segments: int = 3, second_most: int = 6
 
     fps: id, fp and second, a row for each distinct pair of fp and second; second fingerprints must differ in at most
     second_most bits too. Of fewer segments than `most` + 1, one differs in at most one bit as long as most < 2 * segments;
-    so two linked fingerprints share a one-wildcard variant of that segment. A key of two rows is compared at once. Larger
-    ones are dealt out as pairs of blocks of about BLOCK rows, so no task gets a whole hot key, and a task returns a
-    spanning forest of what it finds, not all pairs of a group.
+    so two linked fingerprints share a one-wildcard variant of that segment. Each fingerprint has 64 keys; rows meet by key.
+    Keys of over BLOCK rows are dealt out as pairs of blocks of about so many, so no task gets a whole hot key, and a task
+    returns a spanning forest of what it finds, not all pairs of a group.
     """
     if most >= 2 * segments:
         raise ValueError("some pair within `most` bits would differ in two bits of every segment")
     keys = _keys(fps, segments)
-    row = F.struct("id", "fp", "second")
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(row).alias("x"), F.max(row).alias("y")).filter("n > 1")
-    groups = stored(groups, "simhash-keys")
-    two = groups.filter(f"n = 2 and bit_count(x.fp ^ y.fp) <= {most} and bit_count(x.second ^ y.second) <= {second_most}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    large = keys.join(groups.filter("n > 2").select("key", "n").hint("merge"), "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    # a block meets every block once: pair (i, j), i <= j, gets the rows of i and of j
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "fp", "second")
+    hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}"), "simhash-hot")
+    many = hot.count()  # of BLOCK rows each at least
+    if many:
+        blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
+        dealt = keys.join(F.broadcast(hot) if many <= 100_000 else hot, "key", "left").withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+        # a block meets every block once: pair (i, j), i <= j, gets the rows of i and of j
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        dealt = dealt.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("cell"), "id", "fp", "second")
+    else:
+        dealt = keys.select(F.col("key").alias("cell"), "id", "fp", "second")
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(n, "cell").sortWithinPartitions("cell")
 
@@ -145,7 +146,7 @@ def links(fps: DataFrame, most: int = 4, segments: int = 3, second_most: int = 6
             held = held[:, whole:]
         yield out(*_compare(*held, most, second_most))
 
-    return two.unionByName(dealt.mapInArrow(run, "a bigint, b bigint"))
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, segments: int = 3, second: int | None = None, second_most: int = 64) -> DataFrame:
