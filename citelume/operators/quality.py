@@ -57,10 +57,7 @@ def background_score(text: Column, lexicon: Lexicon = SCIENTIFIC) -> Column:
 
 def paragraph_score(paragraph: Column, lexicon: Lexicon = SCIENTIFIC) -> Column:
     """How much a paragraph is a list of references, 0 to 1."""
-    match = T.matchable(paragraph)
-    found: Column = F.lit(0)
-    for p in lexicon.reference_like:
-        found = found + _count(match, p)
+    found = T.let(T.matchable(paragraph), lambda match: sum((_count(match, p) for p in lexicon.reference_like), F.lit(0)))
     ratio = explanatory_ratio(paragraph, lexicon)
     return T.clamped(F.lit(0.4) * _share(found, 4) + F.lit(0.25) * _share(_count(paragraph, YEAR), 4) + F.lit(0.2) * _share(_count(paragraph, ";"), 4) + F.lit(0.15) * (1 - ratio))
 

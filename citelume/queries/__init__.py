@@ -1,8 +1,8 @@
 """The driver's queries over the engine's own operators, and their SQL."""
 
-from . import labelling, texts
+from . import cataloguing, ingesting, labelling, retrieving, texts
 
-MODULES = (texts, labelling)
+MODULES = (texts, labelling, ingesting, retrieving, cataloguing)
 
 
 def queries():
