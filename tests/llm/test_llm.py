@@ -1,0 +1,339 @@
+"""The training-data operators against brute force on small fixtures, and on odd input."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from citelume.llm import decontamination, fingerprint, line_dedup, mixing, pii, quality, simhash, suffix_tree, token_shards, url_filter
+from citelume.llm.fmindex import FMIndex
+from citelume.llm.graph import stars
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = [a + b for a in "ab cd ef gh ij".split() for b in "k l m n o p q r s t".split()]
+
+
+def corpus(n=60, seed=1):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = "\n".join(" ".join(rng.choices(WORDS, k=rng.randrange(3, 15))) for _ in range(rng.randrange(1, 6)))
+        rows.append([i, text, "en", f"src{i % 5}", len(text)])
+    for i in range(0, n, 6):  # copies and near copies
+        rows[i][1] = rows[0][1] if i % 12 == 0 else rows[0][1].replace(WORDS[3], WORDS[4], 1)
+    return [tuple(r) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and columns whose names clash with the operators' own."""
+    rows = [(1, None, None, "a"), (2, "", "s", "b"), (3, "x y z " * 30000, "s", None), (4, "x y z", "t", None), (4, "x y z", "t", None), (None, "x y z", None, None), (5, "é ü\n\n\nß", "s", "c")]
+    rows = [(*r, 7, "k", "e", 1.0, True, 3) for r in rows]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, size int, key string, chunks string, target double, keep boolean, want int")
+
+
+def bench(spark, items):
+    return spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+
+
+def test_line_dedup(spark):
+    long = " ".join(WORDS[i % 50] for i in range(60))
+    rows = [(1, f"only here\n{long}\nend one"), (2, f"other\n{long}\nend two\nmore"), (3, "a b\nc d"), (4, None)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == (3, 0, rows[0][1]) and got[2] == (4, 1, "other\nend two\nmore") and got[4] == (1, 0, "")
+
+
+def test_line_dedup_shifts(spark):
+    rng = random.Random(2)
+    passage = [" ".join(rng.choices(WORDS, k=6)) for _ in range(40)]
+    rows = [(i, "\n".join([f"own {i} {j}" for j in range(i)] + passage)) for i in range(1, 6)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert got[0].n_removed == 0 and all(r.n_removed > 20 for r in got[1:])
+
+
+def test_suffix_tree(spark, docs):
+    rows = corpus() + [(100 + i, "ak al am an ao " * 20, "en", "s", 1) for i in range(30)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    train = Counter()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    for i, t, *_ in rows:
+        if not held(i):
+            train.update([*t.encode().lower().split(), b"\n"])
+    n, v = sum(train.values()), len(train)
+    got = {r.doc_id: r for r in suffix_tree.query(frame).collect()}
+    for i, t, *_ in rows:
+        words = [*t.encode().lower().split(), b"\n"]
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(words), sum(w in train for w in words), n)
+        assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
+    regular = [r for r in got.values() if r.doc_id >= 100]
+    assert all(r.score > r.base_score for r in regular) and any(r.held_out for r in regular)
+
+
+def test_suffix_tree_blocks_agree(spark, docs, monkeypatch):
+    one = {r.doc_id: r.score for r in suffix_tree.query(docs).collect()}
+    monkeypatch.setattr(suffix_tree, "BLOCK", 500)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 2000)
+    many = {r.doc_id: r.score for r in suffix_tree.query(docs).collect()}
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
+
+
+def test_personal_data(spark):
+    rng = random.Random(3)
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def brute(t):
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        ok = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda m: 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m)), "phone": lambda m: 8 <= len(digits(m)) <= 15}
+        return [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, t) if ok[k](m)]
+
+    for _ in range(3000):
+        t = "".join(rng.choices("a@.-+1 ()59%é", k=40))
+        assert pii.base_spans(t) == brute(t)
+    text = "mail é.x@y.org a_b@c.de; 4111 1111 1111 1111; 10.0.0.256 10.0.0.1; +49 (30) 1234567; IBAN DE89 3704 0044 0532 0130 00; ssn 123-45-6789; call 555-123-4567"
+    row = pii.query(spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(text))
+    assert row[0].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and row[0].spans.startswith(want)
+    assert {s.split(":")[0] for s in row[0].spans.split(",")} >= {"iban", "ssn", "local_phone"}
+    assert row[1].spans == "" and row[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_quality_held_out(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        words = rng.choices(WORDS, k=rng.randrange(10, 60))
+        bad = i % 4 == 0
+        if bad and i % 8:
+            words[rng.randrange(len(words))] = rng.choice(["vileword", "nastyterm"])
+        elif bad:
+            words = [w + "###" for w in words]
+        rows.append((i, " ".join(words)))
+        if i % 2 or i % 8 == 0 or i % 12 == 4:
+            labels.append((i, 0 if bad and i % 8 == 0 else 1, 1 if bad and i % 8 else 0))
+    labelled = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.query(spark.createDataFrame(rows, "doc_id bigint, text string"), labelled).collect()}
+    unseen = [i for i, _ in rows if i not in {x[0] for x in labels}]
+    assert len(unseen) > 50 and np.mean([got[i] == (i % 4 != 0) for i in unseen]) > 0.9
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(5)
+    truth = rng.random(20000) < 0.3
+    right = (0.999, 0.9, 0.8, 0.7)
+    votes = np.stack([np.where(rng.random(len(truth)) < a, truth, ~truth) + 1 for a in right], 1)
+    votes[rng.random(len(truth)) < 0.8, 0] = 0
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    _, table, prior = quality.accuracies(patterns, counts.astype(float))
+    assert abs(prior - 0.3) < 0.05 and all(abs(table[j, 1, 2] - right[j]) < 0.05 for j in (1, 2, 3))
+
+
+@pytest.mark.parametrize(("block", "most", "segments"), [(1024, 4, 3), (3, 4, 3), (1024, 7, 4)])
+def test_simhash(spark, monkeypatch, block, most, segments):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = corpus(150, 6)
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, most, segments).collect()}
+
+    def brute(t):
+        w = t.encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fp = {i: brute(t) for i, t, *_ in rows}
+    assert all(got[i].fp & (2**64 - 1) == fp[i] for i in fp)
+    label = {i: i for i in fp}
+    changed = True
+    while changed:
+        changed = False
+        for a in fp:
+            for b in fp:
+                if (fp[a] ^ fp[b]).bit_count() <= most and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    assert {i: got[i].component_id for i in fp} == label
+
+
+def test_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
+    got = dict(map(tuple, stars(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+    assert stars(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_distinct_documents(spark):
+    base = [WORDS[(i * i + 3 * i) % 50] + str(i % 7) for i in range(120)]
+    near = base[:]
+    near[60] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(reversed(base))), (4, " ".join(base)), (4, " ".join(base)), (3, "again other words here"), (None, " ".join(base))]
+    kept = sorted((r.doc_id for r in simhash.distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert kept == [1, 3, None]
+
+
+def test_fm_index():
+    rng = np.random.default_rng(7)
+    text = rng.integers(1, 5, 400)
+    index = FMIndex(text, 8)
+    for n in (1, 2, 4):
+        patterns = np.unique(rng.integers(2, 6, (30, n)), axis=0)
+        lo, hi = index.search(patterns)
+        for p, a, b in zip(patterns, lo, hi, strict=True):
+            want = [i for i in range(len(text) - n + 1) if (text[i : i + n] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+@pytest.mark.parametrize(("shard", "block"), [(1 << 20, 1 << 20), (40, 60)])
+def test_decontamination(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(decontamination, "SHARD", shard)
+    rows = corpus(40, 8)
+    items = [rows[1][1], " ".join(rows[5][1].split()[:7]), rows[2][1] + " unheard", None, "", " ".join(rows[9][1].split()[:20])]
+    got = {r.doc_id: r for r in decontamination.contamination(spark.createDataFrame(rows, SCHEMA), bench(spark, items), block_bytes=block).collect()}
+    windows = {}
+    for k, t in enumerate(items):
+        w = decontamination.words((t or "").encode())
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[i : i + 13]), set()).add(str(k))
+    for i, t, *_ in rows:
+        w, hit, found = decontamination.words(t.encode()), set(), set()
+        for win, owners in windows.items():
+            for j in range(len(w) - len(win) + 1):
+                if tuple(w[j : j + len(win)]) == win:
+                    hit |= set(range(j, j + len(win)))
+                    found |= owners
+        assert got[i].n_words == len(w) and list(got[i]["items"]) == sorted(found)
+        assert {j for s in got[i].spans for j in range(s.start, s.end)} == hit
+    assert got[1].spans and decontamination.clean(spark.createDataFrame(rows, SCHEMA), bench(spark, items)).filter("doc_id = 1").count() == 0
+
+
+def test_permutation():
+    for n in (1, 2, 3, 10, 1000, 4097):
+        assert sorted(token_shards.permuted(np.arange(n), n).tolist()) == list(range(n))
+    assert token_shards.permuted(np.arange(99), 99, 1).tolist() != token_shards.permuted(np.arange(99), 99, 2).tolist()
+
+
+def test_token_round_trip(spark, docs, tmp_path):
+    path = str(tmp_path / "shards")
+    manifest = {r.slot: r for r in token_shards.materialise(docs, path, length=64, shard=8).collect()}
+    assert sorted(manifest) == list(range(len(manifest)))
+    read = {r.shard * 8 + r.place: r.tokens for r in token_shards.read_shards(spark, path, 64).collect()}
+    assert set(read) == set(manifest)
+    for slot, r in manifest.items():
+        assert (r.shard, r.byte_offset) == (slot // 8, slot % 8 * token_shards.stride(64))
+        assert hashlib.sha256(np.array(read[slot], "<u2").tobytes()).hexdigest() == r.tokens_sha256
+    enc = token_shards.encoder(token_shards.VOCABULARY)
+    want = Counter(t for i, text, *_ in corpus() for t in [*enc.encode_ordinary(text), token_shards.END])
+    assert Counter(t for tokens in read.values() for t in tokens) == want
+    assert {d for r in manifest.values() for d in r.doc_ids} == {i for i, *_ in corpus()}
+
+
+def test_long_text_encodes_whole(monkeypatch):
+    enc = token_shards.encoder(token_shards.VOCABULARY)
+    text = " ".join(WORDS * 30) + "\n\n  end 12 34"
+    want = enc.encode_ordinary(text)
+    monkeypatch.setattr(token_shards, "STRETCH", 100)
+    assert token_shards.encoded(enc, text).tolist() == want
+
+
+def test_fingerprints(spark):
+    rows = corpus(50, 9)
+    got = {r.doc_id: r for r in fingerprint.query(spark.createDataFrame(rows, SCHEMA)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    errors = []
+    for k, (i, t, *_) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        a, b = fingerprint._weights(t), fingerprint._weights(edited)
+        errors.append(got[i].near_edited - sum((a & b).values()) / sum((a | b).values()))
+        if t == after:
+            assert got[i].near_next == 1.0
+    assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.12
+    assert got[0].fingerprint == got[12].fingerprint
+
+
+def test_weighted_sampling_is_generalised_jaccard():
+    a, b = Counter({b"x": 5, b"y": 1, b"z": 3}), Counter({b"x": 2, b"y": 4, b"q": 1})
+    one, two = fingerprint.Sampler(8192).signatures([a, b])
+    assert abs((one == two).mean() - sum((a & b).values()) / sum((a | b).values())) < 0.03
+
+
+def test_mixing(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randrange(1, 40))), rng.choice(["big"] * 8 + ["a", "b", "c", None])) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in mixing.query(frame).collect()}
+    size = Counter()
+    for i, t, s in rows:
+        size[s] += len(t.split())
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(size.values()))
+    while True:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * unit > 3 * size[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+        free -= over
+    target |= {s: weight[s] * unit for s in free}
+    for s in order:
+        own = [got[i] for i, _, x in rows if x == s]
+        assert math.isclose(own[0].target, target[s], rel_tol=1e-9) and own[0].source_size == size[s]
+        assert abs(sum(r.taken for r in own) - target[s]) <= 40 and all(r.taken <= 3 * r.size for r in own)
+    again = {r.doc_id: r.taken for r in mixing.query(frame.repartition(3)).collect()}
+    assert again == {i: r.taken for i, r in got.items()}
+    assert sum(r["copies"] * r["size"] for r in mixing.mix(frame).collect()) == sum(r.taken for r in got.values())
+    assert mixing.repeated(mixing.mix(frame)).count() == mixing.mix(frame).agg({"copies": "sum"}).first()[0]
+
+
+def test_url_filter(spark):
+    urls = {"http://www.EXAMPLE.com/en/x?q": ("www.example.com/en/", "allow"), "https://m.example.com/en/1": ("example.com/en/", "block"), "http://a.com": (None, "allow"), "http://a.com/x": ("com/", "allow"), "http://b.net/fr/2": ("net/fr/", "block"), "http://fr.net/es": (None, "allow"), "http://x.org/casino": (None, "block"), "http://x.org/casinoroyal": (None, "allow"), "http://free.org/": (None, "allow"), "http://free-bets.org/": (None, "block"), "http://free.org/free": (None, "allow"), "nothing": (None, "allow"), None: (None, "allow")}
+    got = url_filter.query(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == list(urls.values())
+    assert (got[0].host, got[0].path, got[2].host, got[2].path) == ("www.example.com", "/en/x", "a.com", "")
+
+
+OPERATORS = {
+    "lines": lambda s, d: line_dedup.dedup_lines(d), "lm": lambda s, d: suffix_tree.score(d), "pii": lambda s, d: pii.personal_data(d), "quality": lambda s, d: quality.classify(d, s.createDataFrame([(1, None, None), (4, 1, 0)], "doc_id bigint, quality int, toxic int")),
+    "simhash": lambda s, d: simhash.near_duplicates(d), "distinct": lambda s, d: simhash.distinct_documents(d), "decontamination": lambda s, d: decontamination.contamination(d, bench(s, ["x y z x y z x y z x y z x y z", None])), "clean": lambda s, d: decontamination.clean(d, bench(s, [])),
+    "tokens": lambda s, d: token_shards.materialise(d), "fingerprints": lambda s, d: fingerprint.neighbours(d), "mixing": lambda s, d: mixing.mix(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_input(spark, odd, name):
+    rows = OPERATORS[name](spark, odd).collect()
+    if name not in ("tokens", "distinct"):
+        assert len(rows) == odd.count()
+    assert OPERATORS[name](spark, odd.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = corpus(80, 11)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    bench(spark, [rows[7][1]]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        before, docs = docs.columns, spark.read.parquet(str(tmp_path / name))
+        sizes.append(docs.count())
+        assert name == "tokens" or docs.columns == before
+    ids = {r.doc_id for r in spark.read.parquet(str(tmp_path / "decontamination")).collect()}
+    assert 7 not in ids and len(ids & {0, 12, 24, 36}) == 1 and sizes[1] < sizes[0]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes[-1]
