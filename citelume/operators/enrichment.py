@@ -11,7 +11,7 @@ from ..lexicon import SCIENTIFIC, Lexicon, Terms
 
 def labels(match: Column, terms: Terms, ordered: bool = False) -> Column:
     """Names of the terms found in matchable text: sorted, or in the lexicon's order."""
-    found = F.array_compact(F.array(*[F.when(match.rlike(T.any_of(patterns)), F.lit(name)) for name, patterns in terms]))
+    found = T.let(match, lambda m: F.array_compact(F.array(*[F.when(m.rlike(T.any_of(patterns)), F.lit(name)) for name, patterns in terms])))
     return found if ordered else F.array_sort(F.array_distinct(found))
 
 

@@ -31,8 +31,15 @@ def reference_score(text: Column, section: Column, ratio: Column, lexicon: Lexic
     """How much a chunk is a bibliography, 0 to 1. section: section and subsection, blank-joined; ratio: explanatory_ratio."""
     if not detect:
         return F.lit(0.0)
-    match = T.matchable(text)
-    doi, et_al, authors = _count(match, r"\bdoi\b"), _count(match, r"\bet al\b"), _count(text, AUTHOR_YEAR)
+    return T.let(T.matchable(text), lambda match: _reference_score(text, match, section, ratio, lexicon))
+
+
+def _reference_score(text: Column, match: Column, section: Column, ratio: Column, lexicon: Lexicon) -> Column:
+    counts = F.struct(_count(match, r"\bdoi\b").alias("doi"), _count(match, r"\bet al\b").alias("et_al"), _count(text, AUTHOR_YEAR).alias("authors"))
+    return T.let(counts, lambda n: _weighed(text, section, ratio, n["doi"], n["et_al"], n["authors"], lexicon))
+
+
+def _weighed(text: Column, section: Column, ratio: Column, doi: Column, et_al: Column, authors: Column, lexicon: Lexicon) -> Column:
     score = (
         F.lit(0.3) * T.contains_any(T.matchable(section), lexicon.reference_sections).cast("double")
         + F.lit(0.18) * _share(doi, 2)
@@ -44,14 +51,11 @@ def reference_score(text: Column, section: Column, ratio: Column, lexicon: Lexic
         + F.lit(0.08) * _share(_count(text, YEAR), 6)
         + F.lit(0.08) * (1 - ratio)
     )
-    return T.clamped(F.when((doi > 0) & ((et_al >= 2) | (authors >= 2)), F.greatest(score, F.lit(0.8))).otherwise(score))
+    return T.let(score, lambda x: T.clamped(F.when((doi > 0) & ((et_al >= 2) | (authors >= 2)), F.greatest(x, F.lit(0.8))).otherwise(x)))
 
 
 def background_score(text: Column, lexicon: Lexicon = SCIENTIFIC) -> Column:
-    match = T.matchable(text)
-    found: Column = F.lit(0)
-    for p in lexicon.background:
-        found = found + match.rlike(p).cast("int")
+    found = T.let(T.matchable(text), lambda match: sum((match.rlike(p).cast("int") for p in lexicon.background), F.lit(0)))
     return T.clamped(found / F.size(T.sentences(text)) * 1.5)
 
 

@@ -62,7 +62,8 @@ def rrf(spark, d):
 
 def _answers(spark, d, asked=REQUESTS):
     bundles, intents = _batch(spark, asked)
-    return retrieval.answered(scored(spark, d), bundles, intents, SETTINGS, L)
+    # an ingest would have stored them; here they are labelled once for all uses in the plan
+    return retrieval.answered(scored(spark, d).persist(), bundles, intents, SETTINGS, L)
 
 
 def final(spark, d):
@@ -72,8 +73,8 @@ def final(spark, d):
 
 def features(spark, d):
     bundles, intents = _batch(spark)
-    chunks = scored(spark, d)
-    full = chunks.select(*retrieval.CHUNK).join(bm25.small(retrieval.candidates(chunks, bundles, intents, SETTINGS)), "chunk_id").join(F.broadcast(bundles), "query_id")
+    chunks = scored(spark, d).persist()
+    full = chunks.select(*retrieval.CHUNK).join(F.broadcast(retrieval.candidates(chunks, bundles, intents, SETTINGS)), "chunk_id").join(F.broadcast(bundles), "query_id")
     return fusion.featured(full, SETTINGS, L).select("query_id", "chunk_id", *[F.round(f, 6).alias(f) for f in fusion.FEATURES])
 
 
