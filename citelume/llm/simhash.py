@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, segments:
 
 #: For whole pipelines: fingerprints of word pairs within 7 bits are candidates, as those of texts are whose five-word
 #: shingles are alike by 0.8 or more; those shingles' own fingerprints confirm them.
-CANDIDATES = {"shingle": 2, "most": 7, "segments": 4, "second": 5, "second_most": 14}
+CANDIDATES = {"shingle": 2, "most": 7, "segments": 4, "second": 5, "second_most": 12}
 
 
 def distinct_documents(docs: DataFrame, **how: int) -> DataFrame:
