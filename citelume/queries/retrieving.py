@@ -194,7 +194,7 @@ _ALIAS = " + ".join(f"CASE WHEN list_contains(cats, {S.q(n)}) AND {S.has_any('m'
 _FEATS = f"""fe AS (SELECT rr.*, r.*, c.*, 2000 + c.doc_id % 25 AS year,
  (dense_score - min(dense_score) OVER w) / greatest(max(dense_score) OVER w - min(dense_score) OVER w, 1e-6) AS dense,
  (sparse_score - min(sparse_score) OVER w) / greatest(max(sparse_score) OVER w - min(sparse_score) OVER w, 1e-6) AS sparse,
- CASE WHEN defect <> '' AND list_contains(defects, defect) THEN 1.0 WHEN len(list_filter(terms, lambda t: t <> '' AND contains(m, t))) > 0 THEN 0.6 ELSE 0.0 END AS direct_defect_match,
+ (CASE WHEN defect <> '' AND list_contains(defects, defect) THEN 1.0 WHEN len(list_filter(terms, lambda t: t <> '' AND contains(m, t))) > 0 THEN 0.6 ELSE 0.0 END)::DOUBLE AS direct_defect_match,
  {_signal(L.mitigation)} AS mitigation_signal,
  {S.clamp(f"{_RATIO} * 0.5 + (CASE WHEN len(cats) > 0 THEN ({_ALIAS}) / CAST(len(cats) AS DOUBLE) ELSE 0.0 END) * 0.3 + least({S.n_hits('m', L.relations)} / {float(len(L.relations))}, 0.5) * 0.2")} AS parameter_relation,
  {_signal(L.experiment, "CASE WHEN kind = 'experimental' THEN 0.3 ELSE 0 END")} AS experimental_evidence, {_signal(L.mechanism)} AS mechanism_signal,
