@@ -187,3 +187,27 @@ def test_catalog(spark, tmp_path):
     assert sorted(map(tuple, catalog.upserted(old, new).collect())) == [("a", 1), ("b", 3), ("c", 4)]
     store = catalog.Catalog(spark, str(tmp_path / "s"))
     assert store.counts() == (0, 0)
+
+
+def test_rerankers(spark):
+    rows = spark.createDataFrame([(1, 1, "gas flow", 0.5, 1.0, "gas flow", 3.0), (1, 2, "else", 0.6, 0.0, "gas flow", 1.0)], "query_id int, chunk_id int, text string, score double, direct_defect_match double, lexical_query string, model double")
+    heuristic = {r.chunk_id: r.score for r in fusion.heuristic_rerank(rows).collect()}
+    assert heuristic == {1: round(0.5 * 0.82 + 0.12 + 0.08, 9), 2: round(0.6 * 0.82, 9)}
+    model = {r.chunk_id: r.score for r in fusion.model_rerank(rows, "model").collect()}
+    assert model == {1: round(0.5 * 0.35 + 0.65, 9), 2: round(0.6 * 0.35, 9)}
+
+
+def test_parser_fallback(spark, tmp_path):
+    from citelume.sources.pages import files, page_rows, parsed, text_pages
+
+    def broken(path, content):
+        raise ValueError("bad file")
+
+    def empty(path, content):
+        return [], {}
+
+    (tmp_path / "a.txt").write_text("one\ftwo")
+    found = files(spark, str(tmp_path), "*.txt")
+    row = parsed(found, (broken, empty, text_pages))
+    assert [(r.page_number, r.text) for r in page_rows(row).orderBy("page_number").collect()] == [(1, "one"), (2, "two")]
+    assert parsed(found, (broken, empty)).first().error == "broken: bad file; empty: no pages"
