@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +50,24 @@ def permuted(index: np.ndarray, n: int, key: int = KEY, rounds: int = 4) -> np.n
     return out.astype(np.int64)
 
 
-def encoder(vocabulary: str):
+def encoder(vocabulary: str, pattern: str = PATTERN):
     import tiktoken
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+class Encoder:
+    """The encoder, by a pattern without the look-ahead where blanks never stand side by side: there the cuts are the same
+    and the search is a third faster."""
+
+    def __init__(self, vocabulary: str) -> None:
+        self.full, self.quick = encoder(vocabulary), encoder(vocabulary, PATTERN.replace(r"\s+(?!\S)|", ""))
+        self.blanks = re.compile(r"\s\s")
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        return (self.full if self.blanks.search(text) else self.quick).encode_ordinary(text)
 
 
 #: Longest stretch given to the tokenizer at once; cut before a blank that follows a letter, where the pattern cuts as well.
@@ -67,14 +81,14 @@ def encoded(enc, text: str) -> np.ndarray:
         end = start + STRETCH
         while end < len(text) and not (text[end] == " " and text[end - 1].isalpha() and text[end + 1 : end + 2].isalpha()):
             end += 1
-        parts.append(np.array(enc.encode_ordinary(text[start:end]), np.uint16))
+        parts.append(np.frombuffer(array("H", enc.encode_ordinary(text[start:end])), np.uint16))
         start = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
 def _sequences(source: Iterator[pa.RecordBatch], vocabulary: str, length: int) -> Iterator[tuple[np.ndarray, list]]:
     """(ids, doc_ids) of each packed sequence of a partition; the last may be shorter."""
-    enc = encoder(vocabulary)
+    enc = Encoder(vocabulary)
     ids, docs, size = [], [], 0  # docs: (doc_id, its last token's place in what is held)
     for b in batches(source):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):

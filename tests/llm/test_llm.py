@@ -243,6 +243,13 @@ def test_long_text_encodes_whole(monkeypatch):
     assert token_shards.encoded(enc, text).tolist() == want
 
 
+def test_quick_encoder_is_the_encoder():
+    full, quick, rng = token_shards.encoder(token_shards.VOCABULARY), token_shards.Encoder(token_shards.VOCABULARY), random.Random(12)
+    for _ in range(2000):
+        text = "".join(rng.choice(["ab", "é", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "12", "!", "'s"]) for _ in range(rng.randrange(12)))
+        assert quick.encode_ordinary(text) == full.encode_ordinary(text)
+
+
 def test_fingerprints(spark):
     rows = corpus(50, 9)
     got = {r.doc_id: r for r in fingerprint.query(spark.createDataFrame(rows, SCHEMA)).collect()}
