@@ -179,6 +179,30 @@ def test_distinct_documents(spark):
     assert kept == [1, 3, None]
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_distinct_documents_by_exact_likeness(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(13)
+    rows = []
+    for g in range(12):
+        base = [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(rng.randrange(150, 400))]
+        for k in range(5):  # from exact copies to texts alike by about 0.5
+            own = base[:]
+            for at in rng.sample(range(len(base)), k * len(base) // 60):
+                own[at] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.alike_documents(frame).collect()} == dict(enumerate(label))
+    assert sorted(r.doc_id for r in simhash.distinct_documents(frame).collect()) == sorted(set(label)) and 12 < len(set(label)) < 50
+
+
 def test_fm_index():
     rng = np.random.default_rng(7)
     text = rng.integers(1, 5, 400)
