@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import batches, raw
 from .fmindex import FMIndex
@@ -16,6 +17,8 @@ from .fmindex import FMIndex
 WINDOW = 13
 #: Most symbols in one index, and most UTF-8 bytes of benchmark text that are searched for at once (one broadcast).
 SHARD, BLOCK_BYTES = 1 << 20, 32 << 20
+#: The column of clean() between blocks.
+_MARKS = "__words_hit"
 #: To lower case; everything but digits, letters and non-ASCII becomes a blank.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -160,18 +163,22 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated ones, columns as they were. The flag is computed beside the row, so nothing is joined."""
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated ones, columns as they were. Words hit by any block count, as in contamination(); they are
+    marked beside the row from block to block, so nothing is joined."""
     sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    for k in range(blocks := -(-total // BLOCK_BYTES) or 1):
+    kept = docs.schema
+    for k in range(blocks := -(-total // block_bytes) or 1):
         items = sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        docs = _flagged(docs, [(r["item"], (r["text"] or "").encode()) for r in items])
+        docs = _flagged(docs, kept, [(r["item"], (r["text"] or "").encode()) for r in items], k == blocks - 1)
     return docs
 
 
-def _flagged(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int = WINDOW) -> DataFrame:
+def _flagged(docs: DataFrame, kept: StructType, items: list[tuple[str, bytes | None]], last: bool, window: int = WINDOW) -> DataFrame:
+    """docs with a bit for each word hit so far after the columns of kept; after the last block the documents that stay, without it."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    columns, marked = len(kept), len(docs.columns) > len(kept)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Phrases(sent.value, window)
@@ -179,6 +186,12 @@ def _flagged(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int
         for b in batches(source):
             ids = [np.fromiter((lookup(w, 0) for w in ws), np.int64, len(ws)) for ws in map(words, raw(b.column("text")))]
             hits, _ = _search(ids, p)
-            yield b.filter(pa.array([not (h.any() and 20 * h.sum() >= len(h)) for h in hits], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            if marked:
+                hits = [h | np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).view(bool) for h, m in zip(hits, b.column(columns).to_pylist(), strict=True)]
+            rows = b.select(b.schema.names[:columns])
+            if last:
+                yield rows.filter(pa.array([not (h.any() and 20 * h.sum() >= len(h)) for h in hits], pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([np.packbits(h).tobytes() for h in hits], pa.binary())], names=[*rows.schema.names, _MARKS])
+
+    return docs.mapInArrow(run, kept if last else StructType([*kept.fields, StructField(_MARKS, BinaryType())]))

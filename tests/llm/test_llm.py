@@ -238,6 +238,19 @@ def test_decontamination(spark, monkeypatch, shard, block):
     assert got[1].spans and decontamination.clean(spark.createDataFrame(rows, SCHEMA), bench(spark, items)).filter("doc_id = 1").count() == 0
 
 
+def test_clean_unites_blocks(spark):
+    rng = random.Random(14)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    items = [own(13) for _ in range(6)]
+    rows = [(1, f"{items[0]} {own(400)}"), (2, " ".join(f"{x} {own(60)}" for x in [*items, own(0)]) + " " + own(800)), (3, own(500)), (4, None)]
+    frame, blocked = spark.createDataFrame(rows, "doc_id bigint, text string"), {}
+    for block in (1 << 20, 100):
+        flagged = decontamination.contamination(frame, bench(spark, items), block_bytes=block).filter(decontamination.is_contaminated())
+        blocked[block] = {r.doc_id for r in decontamination.clean(frame, bench(spark, items), block).collect()}
+        assert blocked[block] == {1, 2, 3, 4} - {r.doc_id for r in flagged.collect()}
+    assert blocked[100] == blocked[1 << 20] == {1, 3, 4}
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 1000, 4097):
         assert sorted(token_shards.permuted(np.arange(n), n).tolist()) == list(range(n))
