@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import batches, mixed, raw, stored
 
-#: Longest context; least count of a context and of a next word that has counts of its own; absolute discount; least gain
-#: in nats of a kept context. The shares raise the least counts with the corpus where they aren't 0, which gathers less.
-DEPTH, CONTEXT, NEXT, DISCOUNT, GAIN = 2, 32, 8, 0.75, 5.0
+#: Longest context; least count of a context and of a next word that has counts of its own (2 and 1 leave it to the gain: a
+#: context seen once has nothing to hold back); absolute discount; least gain in nats of a kept context. The shares raise
+#: the least counts with the corpus where they aren't 0, which gathers less.
+DEPTH, CONTEXT, NEXT, DISCOUNT, GAIN = 4, 2, 1, 0.75, 5.0
 CONTEXT_SHARE, NEXT_SHARE = 0.0, 0.0
 #: Bytes of text in a block (one document at least), and of text for each bucket.
 BLOCK, BUCKET = 12 << 20, 16 << 20

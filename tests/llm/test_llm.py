@@ -89,6 +89,14 @@ def test_suffix_tree_blocks_agree(spark, docs, monkeypatch):
     assert all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    rng = random.Random(15)
+    phrases = [[f"{WORDS[i]}{i}{j}" for j in range(4)] for i in range(40)]
+    rows = [(i, " ".join(" ".join(x) for x in rng.sample(phrases, 8))) for i in range(60)]  # a phrase stands about 12 times
+    held = [r for r in suffix_tree.query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.held_out]
+    assert held and all(r.n_context >= 24 and r.score > 0.5 * r.base_score for r in held)
+
+
 def test_personal_data(spark):
     rng = random.Random(3)
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
