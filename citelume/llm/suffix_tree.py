@@ -1,68 +1,115 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-States are contexts of up to DEPTH words. A context is kept if its own next-word distribution predicts held-back words
-better than its suffix's does (a divergence test), and only if its suffix was kept. A word's probability comes from the
-longest kept suffix of what stands before it, smoothed by absolute discounting towards the state below; at the root stands
-the add-one unigram.
-
-Counts are never gathered in one place. Documents are encoded into blocks of a few megabytes; each block asks the owners of
-hash buckets for the corpus-wide counts of what it holds (a row for each block and bucket, not for each word), first words,
-then, depth by depth, pairs of context and next word. The model and what is gathered for it grow with the corpus; the
-driver sees two totals and the statistics of at most 4 contexts a bucket and depth that are too frequent for one bucket.
+States are contexts of up to DEPTH words. A context is kept if, with its words held back one at a time, its own next-word
+distribution predicts better than its suffix's does (a divergence test), and only if its suffix was kept. A word's
+probability comes from the longest kept suffix of what stands before it, smoothed by absolute discounting towards the state
+below; at the root stands the add-one unigram.
+
+Counts are never gathered in one place. Documents are encoded into blocks of some megabytes, which are stored by block and
+stay there; what moves are requests and answers, a row for each block and hash bucket (not for each word):
+
+* words: a block's distinct words go to the owners of their hashes and come back with corpus-wide counts and numbers;
+* pairs: all contexts of one word with their next words. Deeper contexts of over HOT occurrences follow, depth by depth,
+  as long as there are any. Next words of a hot context are dealt out over all owners; its test is then made from sums;
+* windows: for contexts that aren't hot, the words before and after go to the owner of the shortest context not yet known,
+  which tests and smooths all depths above it at once. Windows are left out, or cut, where counts of pairs show that no
+  longer context can occur twice.
+
+Whether a context is hot changes who tests it, not the outcome. The model and what is gathered for it grow with the corpus.
+The driver sees two totals and a row for each kept hot context, of which there are at most tokens / HOT a depth.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mixed, raw, stored
+from .common import batches, mixed, shared_dir
 
-#: Longest context; least count of a context and of a next word that has counts of its own (2 and 1 leave it to the gain: a
-#: context seen once has nothing to hold back); absolute discount; least gain in nats of a kept context. The shares raise
-#: the least counts with the corpus where they aren't 0, which gathers less.
-DEPTH, CONTEXT, NEXT, DISCOUNT, GAIN = 4, 2, 1, 0.75, 5.0
-CONTEXT_SHARE, NEXT_SHARE = 0.0, 0.0
+#: Longest context; least count of a context (one seen once has nothing to hold back); absolute discount; least gain in nats.
+DEPTH, CONTEXT, DISCOUNT, GAIN = 4, 2, 0.75, 5.0
 #: Bytes of text in a block (one document at least), and of text for each bucket.
 BLOCK, BUCKET = 12 << 20, 16 << 20
-END = b"\n"
+#: A context of more occurrences than this has no single owner.
+HOT = 1 << 20
+#: In the test the logarithm of the state below is rounded to so many steps a nat.
+STEPS = 16
 #: Documents whose crc32 of the id's text has this remainder by 7 are held out.
 HELD = 2
-_GRID = np.linspace(0.0, 1.0, 21)[1:]
-_SCHEMA = "block bigint, kind int, bucket int, payload binary, n bigint, v bigint"
+#: Numbers of next words: known to occur once, in training; not in training. Words have numbers from 2 on; 0 is also no word.
+ONCE, UNKNOWN = 0, 1
+_ROWS = "block bigint, bucket int, payload binary"
+_KINDS = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<u8", 12: "<f4", 16: "<f8"}
+_CODES = {np.dtype(k): c for c, k in _KINDS.items()}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pack(*x) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes of equal weight side by side, which compress better."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<BQ", _CODES[x.dtype], len(x)) for x in arrays)
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays), 3)
 
 
-def _unpack(b: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+def _unpack(b: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(b)
+    heads, at, out, every = [struct.unpack_from("<BQ", raw, 1 + 9 * i) for i in range(raw[0])], 1 + 9 * raw[0], [], np.frombuffer(raw, np.uint8)
+    for code, n in heads:
+        kind = np.dtype(_KINDS[code])
+        out.append(np.ascontiguousarray(every[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In the fewest bytes that hold all values."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """Bytes of equal weight side by side, which compress better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a representative of each distinct key, in the keys' order; number of each key)."""
+    order = np.argsort(key)
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    ordered = key[order]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
-def _unplaned(x: np.ndarray, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(x.T).view(kind).ravel()
+def _bytes(x: bytes) -> np.ndarray:
+    return np.array(bytearray(x), "<u1")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    columns = zip(*rows, strict=True) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "kind", "bucket", "payload", "n", "v"])
+def _rows(rows: Iterator[tuple[int, int, bytes]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of (block, bucket, payload) of some megabytes."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        block, bucket, payload = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], names=["block", "bucket", "payload"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= most:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
 def held_out(doc_id) -> bool:
@@ -70,326 +117,516 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == HELD
 
 
+def rounded(q: np.ndarray) -> np.ndarray:
+    """Probabilities as the test sees them, in steps of their negative logarithm."""
+    return np.minimum(np.round(-STEPS * np.log(q)), 65535).astype("<u2")
+
+
+def gains(n: np.ndarray, total: np.ndarray, q: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What next words counted n times of total gain over the state below, each occurrence held back in turn."""
+    return n * np.log(np.maximum(n - 1 - DISCOUNT, 0) / np.maximum(total - 1, 1) / q + share)
+
+
+# --- words
+
+
 def _encode(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per block: kind 0 its documents as word numbers, kind 1 for each bucket its words and their training counts."""
+    """Per block: a row of bucket -1, its documents as word numbers of the block; and for each bucket its words and their
+    training counts."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        ids, lens, held, parts, size = [], [], [], [], 0
-        number: dict[bytes, int] = {}
-
-        def done() -> Iterator[pa.RecordBatch]:
-            seq = np.concatenate(parts)
-            train = np.repeat(~np.array(held), lens)
-            # numbers by falling frequency
-            order = np.argsort(-np.bincount(seq, minlength=len(number)), kind="stable")
+        ids: list = []
+        texts: list[pa.Array] = []
+        size = 0
+
+        def done() -> Iterator[tuple[int, int, bytes]]:
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(pa.concat_arrays(texts), "")))
+            flat, offsets = words.flatten(), words.offsets.to_numpy()
+            real = pc.greater(pc.binary_length(flat), 0)
+            some = real.to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(some)])[offsets - offsets[0]]
+            coded = flat.filter(real).dictionary_encode()
+            names = [b"", *coded.dictionary.cast(pa.large_binary()).to_pylist()]  # the first is a document's end
+            lens = np.diff(before) + 1
+            ends = np.cumsum(lens) - 1
+            seq, inside = np.zeros(int(lens.sum()), np.int64), np.ones(int(lens.sum()), bool)
+            inside[ends] = False
+            seq[inside] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            held = np.array([held_out(i) for i in ids])
+            order = np.argsort(-np.bincount(seq, minlength=len(names)), kind="stable")  # numbers by falling frequency
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            seq = rank[seq].astype("<u4")
-            words = list(number)
-            words = [words[i] for i in order]
-            counts = np.bincount(seq[train], minlength=len(words)).astype("<u4")
-            bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)).astype("<u4")
-            yield _rows([(block, 0, 0, _pack(ids, np.array(lens, "<u4"), np.array(held), _planes(seq), _planes(bucket)), int(train.sum()), None)])
+            seq = rank[seq]
+            names = [names[i] for i in order]
+            counts = np.bincount(seq[np.repeat(~held, lens)], minlength=len(names))
+            bucket = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) % np.uint64(buckets)
+            yield block, -1, _pack(_bytes(json.dumps(ids).encode()), _narrow(lens), held.astype("<u1"), _narrow(seq), _narrow(bucket))
             by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            edges = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
             for r in range(buckets):
                 if len(at := by[edges[r] : edges[r + 1]]):
-                    yield _rows([(block, 1, r, _pack(b" ".join([words[i] for i in at]), counts[at]), None, None)])
+                    yield block, r, _pack(_bytes(b" ".join([names[i] for i in at])), _narrow(counts[at]))
 
         for b in batches(source, 1 << 20):
-            for doc, text in zip(b.column("doc_id").to_pylist(), raw(b.column("text")), strict=True):
-                words = (text or b"").lower().split()
-                words.append(END)
-                setdefault = number.setdefault
-                parts.append(np.fromiter((setdefault(w, len(number)) for w in words), np.int64, len(words)))
-                ids.append(doc)
-                lens.append(len(words))
-                held.append(held_out(doc))
-                size += len(text or b"")
-                if size >= BLOCK:
-                    yield from done()
-                    block += 1
-                    ids, lens, held, parts, size = [], [], [], [], 0
-                    number = {}
+            ids += b.column("doc_id").to_pylist()
+            texts.append(b.column("text").cast(pa.large_string()))
+            size += b.column("text").nbytes
+            if size >= BLOCK:
+                yield from _rows(done())
+                block, ids, texts, size = block + 1, [], [], 0
         if ids:
-            yield from done()
+            yield from _rows(done())
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(run, _ROWS)
 
 
-def _grouped(source: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
-    """(key, rows (block, kind, bucket, payload)) of consecutive rows with an equal key."""
-    key, held = None, []
+def _by_bucket(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
+    """(bucket, blocks, their unpacked payloads) of consecutive rows of one bucket."""
+    now, blocks, held = None, [], []
     for b in source:
-        for block, kind, bucket, payload in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "bucket", "payload")), strict=True):
-            now = block if column == "block" else bucket
-            if held and now != key:
-                yield key, held
-                held = []
-            key = now
-            held.append((block, kind, bucket, payload))
-    if held:
-        yield key, held
+        for block, bucket, payload in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
+            if blocks and bucket != now:
+                yield now, blocks, held
+                blocks, held = [], []
+            now = bucket
+            blocks.append(block)
+            held.append(_unpack(payload))
+    if blocks:
+        yield now, blocks, held
+
+
+def _owned(requests: DataFrame, buckets: int, answer) -> DataFrame:
+    """What the owners answer: a task for each bucket. Rows of a negative block are their own."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(row for bucket, blocks, asked in _by_bucket(source) for row in answer(bucket, blocks, asked))
+
+    return requests.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block").mapInArrow(run, _ROWS)
 
 
-def _owned(requests: DataFrame, buckets: int) -> DataFrame:
-    """Requests at the owners of their buckets, a task for each bucket."""
-    return requests.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+def _count_words(buckets: int):
+    """Corpus-wide training counts of a bucket's words and their numbers, and its totals."""
 
+    def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
+        words = pa.concat_arrays([pc.split_pattern(pa.array([a[0].tobytes()], pa.large_binary()), b" ").flatten() for a in asked]).dictionary_encode()
+        index = words.indices.to_numpy(zero_copy_only=False)
+        counts = np.bincount(index, np.concatenate([a[1] for a in asked]), len(words.dictionary)).astype(np.int64)
+        number = np.empty(len(counts), np.int64)
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(counts)) * buckets + bucket + 2
+        number[counts == 0] = UNKNOWN
+        yield -1 - bucket, bucket, _pack(np.array([counts.sum(), (counts > 0).sum()], "<u8"))
+        at = 0
+        for block, a in zip(blocks, asked, strict=True):
+            own = index[at : at + len(a[1])]
+            at += len(own)
+            yield block, bucket, _pack(_narrow(counts[own]), _narrow(number[own]))
 
-def _words(requests: DataFrame, buckets: int, least: float) -> DataFrame:
-    """Kind 2: corpus-wide training counts of a block's words in a bucket, and the hashes of those counted `least` times or more; kind 9: a bucket's totals."""
+    return answer
 
+
+# --- tables by block
+
+
+def _kept(rows: DataFrame, tasks: int, name: str, grouped: bool = True) -> DataFrame:
+    """rows stored by block, one row for each with all its payloads, so that later joins by block don't move them."""
+    if grouped:
+        rows = rows.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("parts"))
+    path, table = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}", f"citelume_{uuid.uuid4().hex}"
+    rows.write.option("path", path).option("compression", "uncompressed").bucketBy(tasks, "block").sortBy("block").saveAsTable(table)
+    out = rows.sparkSession.table(table)
+    rows.sparkSession.sql(f"DROP TABLE {table}")  # its files stay, and so does what was read from the catalog
+    return out
+
+
+def _totals(table: DataFrame) -> tuple[int, int]:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _grouped(source, "bucket"):
-            total: dict[bytes, int] = {}
-            asked = []
-            for block, _, _, payload in rows:
-                joined, counts = _unpack(payload)
-                words = joined.split(b" ")
-                asked.append((block, words))
-                for w, c in zip(words, counts.tolist(), strict=True):
-                    total[w] = total.get(w, 0) + c
-            yield _rows([(-1, 9, bucket, None, sum(total.values()), sum(1 for c in total.values() if c))])
-            for block, words in asked:
-                counts = np.fromiter((total[w] for w in words), "<u8", len(words))
-                often = counts >= least
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w, o in zip(words, often.tolist(), strict=True) if o), "<u8", int(often.sum()))
-                yield _rows([(block, 2, bucket, _pack(_planes(counts), hashes), None, None)])
-
-    return _owned(requests, buckets).mapInArrow(run, _SCHEMA)
-
-
-def _bucket_of(context: np.ndarray, word: np.ndarray, count: np.ndarray, hot: float, buckets: int) -> np.ndarray:
-    """A context's pairs have one owner; those of contexts counted over `hot` times are dealt out by the next word."""
-    return (np.where(count > hot, mixed(context ^ word), context) % np.uint64(buckets)).astype(np.int64)
+        for b in source:
+            found = [_unpack(p["payload"])[0] for parts in b.column("parts").to_pylist() for p in parts]
+            yield pa.RecordBatch.from_pydict({"n": pa.array([int(x[0]) for x in found], pa.int64()), "v": pa.array([int(x[1]) for x in found], pa.int64())})
+
+    out = table.filter("block < 0").mapInArrow(run, "n bigint, v bigint")
+    return tuple(out.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
+
+
+# --- a block
 
 
 class _Block:
-    """A block's documents with what is known of them: probabilities by the longest kept state so far."""
-
-    def __init__(self, rows: list[tuple[int, int, int, bytes]], totals: tuple[int, int, float, float], hot: float, buckets: int, tables: list[dict[int, float]]) -> None:
-        kinds: dict[int, dict[int, bytes]] = {}
-        for _, kind, bucket, payload in rows:
-            kinds.setdefault(kind, {})[bucket] = payload
-        self.ids, self.lens, self.held, seq, bucket = _unpack(kinds[0][0])
-        self.seq, bucket = _unplaned(seq, "<u4").astype(np.int64), _unplaned(bucket, "<u4")
-        self.n, self.v, next_least, self.context_least = totals
-        self.hot, self.buckets = hot, buckets
-        count, word = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.uint64)
+    """A block's documents with what the answers so far say of them.
+
+    gram[d]: how often the d words that end here stand in training; -1 where that isn't known, and then it is HOT at most.
+    """
+
+    def __init__(self, payload: bytes, answers: list[dict[int, bytes]], totals: tuple[int, int], tables: list[dict[int, int]], buckets: int, depth: int, hot: int) -> None:
+        ids, lens, held, seq, bucket = _unpack(payload)
+        self.ids = json.loads(ids.tobytes())
+        self.lens, self.held, self.local = lens.astype(np.int64), held.astype(bool), seq.astype(np.int64)
+        self.n, self.v = totals
+        self.buckets, self.depth, self.hot = buckets, depth, hot
+        count, number = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.uint64)
         by = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for r, payload in kinds.get(2, {}).items():
-            c, h = _unpack(payload)
+        for r, part in answers[0].items():
             at = by[edges[r] : edges[r + 1]]
-            count[at] = _unplaned(c, "<u8")
-            word[at[count[at] >= next_least]] = h
-        self.count = count[self.seq]
-        self.word = word[self.seq]
-        starts = np.cumsum(self.lens.astype(np.int64)) - self.lens
-        self.place = np.arange(len(self.seq)) - np.repeat(starts, self.lens)
-        self.base = (self.count + 1) / (self.n + self.v + 1)
-        self.p = self.base.copy()
-        self.context = np.zeros(len(self.seq), np.uint64)
-        self.depth = 0
-        self.state = np.zeros(len(self.seq), np.int8)  # words in the longest kept suffix
-        self.live = np.ones(len(self.seq), bool)  # its context of the depth so far was kept
-        self.seen = np.where(self.word != 0, self.count, 0)  # how often the context that ends here was counted
-        for kind in sorted(k for k in kinds if k >= 10):
-            self.deepen()
-            self.answer({r: _unpack(p) for r, p in kinds[kind].items()}, tables[kind - 10])
-
-    def deepen(self) -> None:
-        """To contexts of one more word; asks for those that are frequent and whose suffix was kept."""
-        self.depth += 1
-        d = self.depth
-        before = np.zeros(len(self.seq), np.int64)
-        before[1:] = self.seen[:-1]
-        far = np.zeros(len(self.seq), np.uint64)
-        far[d:] = self.word[:-d] if d < len(self.seq) else far[d:]
-        self.context = mixed(far + self.context * _ODD + np.uint64(d))
-        self.live &= (self.place >= d) & (before >= self.context_least) & (far != 0)
-        self.before = before
-        at = np.flatnonzero(self.live)
-        keys = self.context[at]
-        listed = self.word[at] != 0
-        pair = mixed(keys ^ mixed(self.word[at]))
-        train = ~np.repeat(self.held, self.lens)[at]
-        # contexts, each with the pairs listed for it
-        owner = _bucket_of(keys, self.word[at], before[at], self.hot, self.buckets)
-        unit = mixed(keys + owner.astype(np.uint64) * _ODD)  # a context at an owner
-        units, first, unit_of = np.unique(unit, return_index=True, return_inverse=True)
-        pairs, pfirst, pair_of = np.unique(pair[listed], return_index=True, return_inverse=True)
-        where = np.flatnonzero(listed)[pfirst]
-        counts = np.bincount(pair_of, train[listed], len(pairs)).astype(np.int64)
-        self.at, self.unit_of, self.listed, self.pair_of = at, unit_of, listed, pair_of
-        self.units = keys[first], owner[first], before[at][first]
-        self.pairs = unit_of[where], self.word[at][where], counts, np.log(self.p[at][where]).astype("<f2")
-        # in the order they are asked for: by owner, then context
-        self.unit_order = np.argsort(self.units[1], kind="stable")
-        self.unit_edges = np.searchsorted(self.units[1][self.unit_order], np.arange(self.buckets + 1))
-        place = np.empty(len(units), np.int64)
-        place[self.unit_order] = np.arange(len(units))
-        self.pair_order = np.argsort(place[self.pairs[0]], kind="stable")
-        self.unit_place = place
-        self.pair_edges = np.searchsorted(place[self.pairs[0]][self.pair_order], self.unit_edges)
-
-    def requests(self) -> Iterator[tuple[int, bytes]]:
+            count[at], number[at] = _unpack(part)
+        self.kinds = len(bucket)
+        self.word, self.train = number[self.local], ~np.repeat(self.held, self.lens)
+        self.place = np.arange(len(seq)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        self.gram = [None, count[self.local]]
+        self.base = (self.gram[1] + 1) / (self.n + self.v + 1)
+        self.p, self.state = self.base.copy(), np.zeros(len(seq), np.int64)
+        self.context = [None]  # a number in the block for the context of d words
+        self.key = [None]  # and for all blocks
+        for d, part in enumerate(answers[1:], 1):
+            self.ask(d)
+            self.hear(d, part, tables[d - 1])
+
+    def back(self, x: np.ndarray, d: int) -> np.ndarray:
+        """x, d words before."""
+        out = np.zeros_like(x)
+        if d < len(x):
+            out[d:] = x[:-d]
+        return out
+
+    def ask(self, d: int) -> None:
+        """The pairs of contexts of d words and next words that are asked for: all of one word, hot ones of more."""
+        before, word = self.back(self.local, d), self.back(self.word, d)
+        if d == 1:
+            self.context.append(before)
+            self.key.append(word)
+        else:
+            self.context.append(_numbered(self.context[-1] * self.kinds + before)[1])
+            self.key.append(mixed(self.key[-1] * _ODD + word + np.uint64(d)))
+        self.total = self.back(self.gram[d], 1)
+        self.at = at = np.flatnonzero((self.place >= d) & (self.total >= CONTEXT if d == 1 else self.total > self.hot))
+        first, self.pair_of = _numbered(self.context[d][at] * self.kinds + self.local[at])
+        where = at[first]  # a representative of each pair
+        key, word = self.key[d][where], self.word[where]
+        owner = mixed(np.where(self.total[where] > self.hot, key ^ mixed(word), key)) % np.uint64(self.buckets)
+        # a context at an owner is a unit; units are sorted by owner, their pairs stand together
+        self.order = order = np.argsort(_narrow(owner), kind="stable")
+        self.place_of = np.empty(len(order), np.int64)
+        self.place_of[order] = np.arange(len(order))
+        self.pairs, self.owner = where[order], owner[order]
+        c = self.context[d][self.pairs]
+        self.unit = np.cumsum(np.concatenate([[False], (c[1:] != c[:-1]) | (self.owner[1:] != self.owner[:-1])])) if len(c) else np.zeros(0, np.int64)
+
+    def requests(self, d: int) -> Iterator[tuple[int, bytes]]:
+        """For each owner: contexts, how many pairs each has, whether they are hot, then the pairs: word, twice the count (and 1 if
+        held-out text asks), state below."""
+        counts = np.bincount(self.pair_of, self.train[self.at], len(self.pairs)).astype(np.int64)
+        held = np.bincount(self.pair_of, ~self.train[self.at], len(self.pairs)) > 0
+        asked = (2 * counts + held)[self.order]
+        hot = (self.total[self.pairs] > self.hot).astype("<u1")
+        below = rounded(self.p[self.pairs])
+        edges = np.searchsorted(self.owner, np.arange(self.buckets + 1, dtype=np.uint64))
         for r in range(self.buckets):
-            u = self.unit_order[self.unit_edges[r] : self.unit_edges[r + 1]]
-            if not len(u):
+            s = slice(edges[r], edges[r + 1])
+            if s.start < s.stop:
+                unit = self.unit[s] - self.unit[s.start]
+                first = np.flatnonzero(np.diff(unit, prepend=-1))
+                yield r, _pack(_narrow(self.key[d][self.pairs[s]][first]), _narrow(np.diff(first, append=len(unit))), hot[s][first], _narrow(self.word[self.pairs[s]]), _narrow(asked[s]), below[s])
+
+    def hear(self, d: int, parts: dict[int, bytes], table: dict[int, int]) -> None:
+        """Takes the pairs' counts, and how many next words a context has (0: not kept)."""
+        edges = np.searchsorted(self.owner, np.arange(self.buckets + 1, dtype=np.uint64))
+        n, next_ = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.pairs), np.int64)
+        for r, part in parts.items():
+            s = slice(edges[r], edges[r + 1])
+            n[s], kinds = _unpack(part)
+            next_[s] = kinds[self.unit[s] - self.unit[s.start]]
+        hot = np.flatnonzero(self.total[self.pairs] > self.hot)
+        if len(hot):
+            first, of = _numbered(self.key[d][self.pairs[hot]])
+            next_[hot] = np.array([table.get(int(k), 0) for k in self.key[d][self.pairs[hot[first]]]], np.int64)[of]
+        mine = self.place_of[self.pair_of]
+        own, kinds, total = n[mine] // 2, next_[mine], self.total[self.at]
+        gram = np.full(len(self.local), 0 if d == 1 else -1, np.int64)
+        gram[self.at] = own
+        self.gram.append(gram)
+        if d == 1:
+            self.once = np.zeros(len(self.local), bool)  # the pair's one occurrence, which held-out text doesn't ask for
+            self.once[self.at] = n[mine] == 2
+        live = (kinds > 0) & (self.state[self.at] == d - 1)
+        at, total = self.at[live], total[live]
+        self.p[at] = np.maximum(own[live] - DISCOUNT, 0) / total + DISCOUNT * kinds[live] / total * self.p[at]
+        self.state[at] = d
+
+    def window(self) -> None:
+        """The distinct windows to be asked for, by owner: the state, the words before (0 from where no context recurs), the next word."""
+        at = np.flatnonzero((self.state > 0) & (self.state < self.depth) & (self.place > self.state))
+        start = self.state[at] + 1
+        count = np.full(len(at), -1, np.int64)
+        for d in range(2, len(self.gram)):
+            now = start == d
+            count[now] = self.gram[d][at[now] - 1]
+        go = (count < 0) | (count >= CONTEXT) & (count <= self.hot)
+        at, start = at[go], start[go]
+        local, words = [self.local[at - 1]], [self.word[at - 1]]
+        alive = np.ones(len(at), bool)
+        for d in range(2, self.depth + 1):
+            alive = alive & (self.place[at] >= d)
+            alive &= (start >= d) | (self.gram[2][np.maximum(at - d + 1, 0)] >= CONTEXT)
+            there = np.maximum(at - d, 0)
+            words.append(np.where(alive, self.word[there], np.uint64(0)))
+            local.append(np.where(alive, self.local[there] + 1, 0))
+        next_ = np.where(self.once[at], np.uint64(ONCE), self.word[at])
+        key = start.astype(np.uint64)
+        for x in (*words, next_):
+            key = mixed(key * _ODD + x)
+        order = np.argsort(key)
+        columns = [x[order] for x in (*words, next_, start)]
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = False
+            for x in columns:
+                new[1:] |= x[1:] != x[:-1]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        words, next_, start, local = [x[first] for x in words], next_[first], start[first], [x[first] for x in local]
+        hashed = start.astype(np.uint64)
+        for d, x in enumerate(words, 1):
+            hashed = np.where(start >= d, mixed(hashed * _ODD + x), hashed)
+        owner = hashed % np.uint64(self.buckets)
+        bits = max(1, int(self.kinds + 1).bit_length())
+        near = np.zeros(len(first), np.uint64)  # equal contexts stand together
+        for d, x in enumerate(local[:3], 1):
+            shift = 64 - d * bits
+            near |= x.astype(np.uint64) << np.uint64(shift) if shift >= 0 else x.astype(np.uint64) >> np.uint64(-shift)
+        order = np.argsort(near, kind="stable")
+        order = order[np.argsort(_narrow(owner)[order], kind="stable")]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at, self.of = at, place[number]
+        self.windows = [x[order] for x in words], next_[order], start[order]
+        self.owner = owner[order]
+        self.edges = np.searchsorted(self.owner, np.arange(self.buckets + 1, dtype=np.uint64))
+        self.first = at[first][order]
+
+    def window_requests(self) -> Iterator[tuple[int, bytes]]:
+        """For each owner: next word, training count, state below, state, then the words before."""
+        counts = np.bincount(self.of, self.train[self.at], len(self.owner)).astype(np.int64)
+        below = rounded(self.p[self.first])
+        words, next_, start = self.windows
+        for r in range(self.buckets):
+            s = slice(self.edges[r], self.edges[r + 1])
+            if s.start < s.stop:
+                yield r, _pack(_narrow(next_[s]), _narrow(counts[s]), below[s], start[s].astype("<u1"), *(_narrow(x[s]) for x in words))
+
+    def finish(self, parts: dict[int, bytes]) -> None:
+        state, a, b = np.zeros(len(self.owner), np.int64), np.zeros(len(self.owner)), np.ones(len(self.owner))
+        for r, part in parts.items():
+            s = slice(self.edges[r], self.edges[r + 1])
+            state[s], more, share = _unpack(part)
+            some = np.arange(s.start, s.stop)[state[s] > 0]
+            a[some], b[some] = more, share
+        found = state[self.of]
+        at, of = self.at[found > 0], self.of[found > 0]
+        self.p[at] = a[of] + b[of] * self.p[at]
+        self.state[at] = state[of]
+
+
+# --- owners of contexts
+
+
+def _count_pairs(most: int):
+    def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
+        """Per block twice the corpus-wide training count of each pair (and 1 if held-out text asks for it), and the number of
+        next words of each kept context; of hot contexts (of which this may be a part) sums, and what their test needs."""
+        join = lambda i, kind: np.concatenate([a[i].astype(kind) for a in asked])
+        sizes, units = join(1, np.int64), join(0, np.uint64)
+        firsts, context = _numbered(units)
+        keys, hot = units[firsts], join(2, bool)[firsts]
+        context, asks = np.repeat(context, sizes), join(4, np.int64)
+        _, of = _numbered(context.astype(np.uint64) << np.uint64(40) | join(3, np.uint64))
+        first = np.empty(int(of.max()) + 1, np.int64)
+        first[of] = np.arange(len(of))
+        n = np.bincount(of, asks // 2, len(first)).astype(np.int64)
+        held = np.bincount(of, asks % 2, len(first)) > 0
+        owner, q = context[first], join(5, np.int64)[first]
+        some = n > 0
+        total = np.bincount(owner, n, len(keys)).astype(np.int64)
+        kinds = np.bincount(owner[some], minlength=len(keys))
+        share = DISCOUNT * kinds / np.maximum(total, 1)
+        gain = np.bincount(owner[some], gains(n[some], total[owner[some]], np.exp(-q[some] / STEPS), share[owner[some]]), len(keys))
+        kept = np.where((total >= CONTEXT) & (gain >= GAIN), kinds, 0)
+        if hot.any():  # only a part of them is here: what was found above isn't theirs, and the blocks don't use it
+            more, each = hot[owner] & (n > 1), lambda mask: np.bincount(owner[mask], minlength=len(keys))[hot].astype("<u8")
+            order = np.argsort(owner[more], kind="stable")
+            yield -1 - bucket, bucket, _pack(keys[hot].astype("<u8"), total[hot].astype("<u8"), kinds[hot].astype("<u8"), each(n > most), each(more), _narrow(n[more][order]), q[more][order].astype("<u2"))
+        said, at = 2 * n + held, 0
+        for block, a in zip(blocks, asked, strict=True):
+            own = slice(at, at + len(a[3]))
+            at = own.stop
+            starts = np.cumsum(a[1].astype(np.int64)) - a[1]
+            yield block, bucket, _pack(_narrow(said[of[own]]), _narrow(kept[context[own][starts]]))
+
+    return answer
+
+
+def _test_windows(depth: int):
+    def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
+        """Per block the state of each window (0: as it was), and of those with one a and b: its probability is a + b times
+        that of the state as it was."""
+        join = lambda i, kind: np.concatenate([a[i].astype(kind) for a in asked])
+        word, count, start = join(0, np.uint64), join(1, np.int64), join(3, np.int64)
+        q = np.exp(-join(2, np.float64) / STEPS)
+        state, a, b = np.zeros(len(word), np.int64), np.zeros(len(word)), np.ones(len(word))
+        context = _numbered(join(4, np.uint64))[1]
+        live = np.ones(len(word), bool)
+        for d in range(2, depth + 1):
+            far = join(3 + d, np.uint64)
+            context = _numbered(context.astype(np.uint64) << np.uint64(40) | far)[1]
+            live &= (far != 0) & ((start >= d) | (state == d - 1))
+            if not (at := np.flatnonzero(live & (start <= d))).size:
                 continue
-            e = self.pair_order[self.pair_edges[r] : self.pair_edges[r + 1]]
-            inside = (self.unit_place[self.pairs[0][e]] - self.unit_edges[r]).astype("<u4")
-            sizes = np.bincount(inside, minlength=len(u)).astype("<u4")
-            short = self.pairs[1][e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            yield r, _pack(self.units[0][u], self.units[2][u].astype("<u8"), sizes, np.ascontiguousarray(short), self.pairs[2][e].astype("<u4"), self.pairs[3][e])
-
-    def answer(self, replies: dict[int, tuple], table: dict[int, float]) -> None:
-        """Takes the owners' counts, and the share left to the state below (nan: not kept) of each context."""
-        rest, counts = np.full(len(self.units[0]), np.nan), np.zeros(len(self.pairs[0]), np.int64)
-        for r, (c, share) in replies.items():
-            rest[self.unit_order[self.unit_edges[r] : self.unit_edges[r + 1]]] = share
-            counts[self.pair_order[self.pair_edges[r] : self.pair_edges[r + 1]]] = c
-        big = np.flatnonzero(self.units[2] > self.hot)
-        for i in big.tolist():
-            rest[i] = table.get(int(self.units[0][i]), np.nan)
-        share = rest[self.unit_of]
-        own = np.zeros(len(self.at), np.int64)
-        own[self.listed] = counts[self.pair_of]
-        kept = ~np.isnan(share)
-        total = self.before[self.at]
-        new = np.maximum(own - DISCOUNT, 0) / np.maximum(total, 1) + share * self.p[self.at]
-        self.p[self.at[kept]] = new[kept]
-        self.state[self.at[kept]] = self.depth
-        self.live[:] = False
-        self.live[self.at[kept]] = True
-        self.seen = np.zeros(len(self.seq), np.int64)
-        self.seen[self.at] = own
-
-
-def _contexts(requests: DataFrame, buckets: int, hot: float, kind: int) -> DataFrame:
-    """Kind `kind`: counts of a block's pairs in a bucket and its contexts' shares; kind 9: partial sums of a hot context."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _grouped(source, "bucket"):
-            asked = [(block, _unpack(payload)) for block, _, _, payload in rows]
-            contexts = np.concatenate([a[0] for _, a in asked])
-            totals = np.concatenate([a[1] for _, a in asked]).astype(np.int64)
-            sizes = np.concatenate([a[2] for _, a in asked])
-            wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-            wide[:, :6] = np.concatenate([a[3] for _, a in asked])
-            words = wide.view("<u8").ravel()
-            counts = np.concatenate([a[4] for _, a in asked]).astype(np.int64)
-            below = np.exp(np.concatenate([a[5] for _, a in asked]).astype(np.float64))
-            uniq, where, of = np.unique(contexts, return_index=True, return_inverse=True)
-            total = totals[where]
-            context = np.repeat(of, sizes)
-            _, first, pair_of = np.unique(mixed(uniq[context] ^ mixed(words)), return_index=True, return_inverse=True)
-            c = np.bincount(pair_of, counts, len(first)).astype(np.int64)
-            owner, q = context[first], below[first]
-            some = c > 0
-            owner, q, n = owner[some], q[some], c[some]
-            seen, kinds = np.bincount(owner, n, len(uniq)), np.bincount(owner, minlength=len(uniq))
-            share = np.clip((total - seen + DISCOUNT * kinds) / total, 1e-9, 1.0)
-            # words held back one at a time: what the context's own distribution gains over the one below
-            ahead = np.maximum(n - 1 - DISCOUNT, 0) / np.maximum(total[owner] - 1, 1) / q
-            gain = np.bincount(owner, n * np.log(ahead + share[owner]), len(uniq)) + (total - seen) * np.log(share)
-            big = total > hot
-            rest = np.where(~big & (gain >= GAIN), share, np.nan).astype("<f4")
-            sums = [np.bincount(owner, n * np.log(ahead + s), len(uniq)) for s in _GRID] if big.any() else []
-            for i in np.flatnonzero(big).tolist():
-                yield _rows([(-1, 9, bucket, pickle.dumps((int(uniq[i]), int(total[i]), int(seen[i]), int(kinds[i]), [float(s[i]) for s in sums])), None, None)])
-            u = e = 0
-            for block, a in asked:
-                m, k = len(a[0]), len(a[4])
-                yield _rows([(block, kind, bucket, _pack(c[pair_of[e : e + k]].astype("<u4"), rest[of[u : u + m]]), None, None)])
-                u, e = u + m, e + k
-
-    return _owned(requests, buckets).mapInArrow(run, _SCHEMA)
-
-
-def _hot_table(rows: list) -> dict[int, float]:
-    """The shares of hot contexts that are kept, from their buckets' partial sums."""
-    sums: dict[int, list] = {}
-    for r in rows:
-        context, total, seen, kinds, gains = pickle.loads(bytes(r["payload"]))
-        have = sums.setdefault(context, [total, 0, 0, np.zeros(len(_GRID))])
-        have[1] += seen
-        have[2] += kinds
-        have[3] += np.array(gains)
-    out = {}
-    for context, (total, seen, kinds, gains) in sums.items():
-        share = min(1.0, max(1e-9, (total - seen + DISCOUNT * kinds) / total))
-        if np.interp(share, _GRID, gains) + (total - seen) * np.log(share) >= GAIN:
-            out[context] = share
-    return out
-
-
-def _at_blocks(tables: list[DataFrame], function, schema: str, tasks: int) -> DataFrame:
-    """function over the rows of each block, brought together from the tables."""
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    together = every.repartition(tasks, "block").sortWithinPartitions("block", "kind", "bucket")
+            _, own = _numbered(context[at])
+            total = np.bincount(own, count[at]).astype(np.int64)
+            _, pair = _numbered(own.astype(np.uint64) << np.uint64(40) | word[at])
+            first = np.empty(int(pair.max()) + 1, np.int64)
+            first[pair] = np.arange(len(pair))
+            once = word[at] == ONCE
+            n = np.bincount(pair, count[at], len(first)).astype(np.int64)
+            single = once[first]  # each occurrence is a next word of its own
+            of, some = own[first], n > 0
+            kinds = np.bincount(of[some], np.where(single[some], n[some], 1), len(total))
+            share = DISCOUNT * kinds / np.maximum(total, 1)
+            each = np.where(single, 1, n)
+            gain = gains(each, total[of], q[at][first], np.maximum(share[of], 1e-9)) * np.where(single, n, 1)
+            gain = np.bincount(of[some], gain[some], len(total))
+            kept = ((total >= CONTEXT) & (gain >= GAIN))[own]
+            own, at = own[kept], at[kept]
+            mine = np.maximum(each[pair[kept]] - DISCOUNT, 0) / total[own]
+            a[at], b[at], q[at] = mine + share[own] * a[at], share[own] * b[at], mine + share[own] * q[at]
+            state[at] = d
+        at = 0
+        for block, request in zip(blocks, asked, strict=True):
+            own = slice(at, at + len(request[0]))
+            at = own.stop
+            some = state[own] > 0
+            yield block, bucket, _pack(state[own].astype("<u1"), a[own][some].astype("<f4"), b[own][some].astype("<f4"))
+
+    return answer
+
+
+# --- hot contexts
+
+
+def _hot(table: DataFrame) -> tuple[dict[int, int], bool]:
+    """(next words of each kept hot context, whether a longer context is hot), from its parts at the owners."""
+
+    def parts(rows: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for row in rows.column("parts").to_pylist():
+            for p in row:
+                yield _unpack(p["payload"])
+
+    def sums(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            for keys, total, kinds, deeper, *_ in parts(b):
+                yield pa.RecordBatch.from_pydict({"context": pa.array(keys.view(np.int64)), "total": pa.array(total.view(np.int64)), "kinds": pa.array(kinds.view(np.int64)), "deeper": pa.array(deeper.view(np.int64))})
+
+    own = table.filter("block < 0")
+    every = own.mapInArrow(sums, "context bigint, total bigint, kinds bigint, deeper bigint").groupBy("context").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds"), F.sum("deeper").alias("deeper"))
+    found = every.collect()  # tokens / HOT at most
+    if not found:
+        return {}, False
+    sent = table.sparkSession.sparkContext.broadcast({r["context"] & (1 << 64) - 1: (r["total"], r["kinds"]) for r in found})
+
+    def tested(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            rows = []
+            for keys, own_total, _, _, sizes, n, q in parts(b):
+                ends = np.cumsum(sizes.astype(np.int64))
+                for i, k in enumerate(keys.tolist()):
+                    total, kinds = sent.value[k]
+                    s = slice(int(ends[i]) - int(sizes[i]), int(ends[i]))
+                    m, share = n[s].astype(np.int64), DISCOUNT * kinds / total
+                    gain = gains(m, np.int64(total), np.exp(-q[s].astype(np.int64) / STEPS), share).sum() + (int(own_total[i]) - int(m.sum())) * np.log(share)
+                    rows.append((np.uint64(k).astype(np.int64), float(gain)))
+            context, gain = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_pydict({"context": pa.array(context, pa.int64()), "gain": pa.array(gain, pa.float64())})
+
+    kept = own.mapInArrow(tested, "context bigint, gain double").groupBy("context").agg(F.sum("gain").alias("gain")).filter(f"gain >= {GAIN}").collect()
+    kinds = sent.value
+    return {k: kinds[k][1] for r in kept for k in [r["context"] & (1 << 64) - 1]}, any(r["deeper"] for r in found)
+
+
+def _at_blocks(blocks: DataFrame, answers: list[DataFrame], function, schema: str) -> DataFrame:
+    """function over each block and the answers so far. Tables stored by block meet without being moved."""
+    together = blocks.filter("bucket = -1").select("block", "payload")
+    for i, a in enumerate(answers):
+        together = together.join(a.select("block", F.col("parts").alias(f"a{i}")).hint("merge"), "block", "left")
+    names = [f"a{i}" for i in range(len(answers))]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(source, "block"):
-            yield from function(rows)
+        for batch in source:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                parts = [{p["bucket"]: p["payload"] for p in row.column(c)[0].as_py() or ()} for c in names]
+                made = function(row.column("block")[0].as_py(), row.column("payload")[0].as_py(), parts)
+                yield from _rows(made) if schema == _ROWS else made
 
-    return together.select("block", "kind", "bucket", "payload").mapInArrow(run, schema)
+    return together.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_context): log10 probabilities of whole texts.
 
     Words are of the ASCII lower-cased text, and an end follows them. The model learns from documents that aren't held out.
     base_score is that of the add-one unigram at the root, score the tree's; n_context counts tokens whose state is a
     context. Nulls: a null text is empty (its end is scored); a null doc_id counts as an empty id. Repeated rows count and
     are scored each. If all documents are held out, every token has the root's share of nothing seen. No documents give no
-    rows; other columns are ignored.
+    rows; other columns are ignored. doc_id may be of any type that its text gives back. hot: see HOT; it changes no result.
     """
     spark = docs.sparkSession
-    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(-(-size // BUCKET) or 1)
-    encoded = stored(_encode(plain, buckets), "lm-blocks")
-    blocks = encoded.filter("kind = 0")
-    n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    leasts = max(NEXT, NEXT_SHARE * n), max(CONTEXT, CONTEXT_SHARE * n)
-    words = stored(_words(encoded.filter("kind = 1"), buckets, leasts[0]), "lm-words")
-    n, v = words.filter("kind = 9").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    hot = max(n / (4 * buckets), CONTEXT)
-    tasks = max(buckets, 1)
-    tables, answers = [], [words.filter("kind = 2")]
-    for d in range(depth):
+    tasks = min(buckets, 100_000)
+    blocks = _kept(_encode(plain, buckets), tasks, "lm-blocks", False)
+    words = _kept(_owned(blocks.filter("bucket >= 0"), buckets, _count_words(buckets)), tasks, "lm-words")
+    totals = _totals(words)
+    answers, tables = [words], []
+    for d in range(1, depth + 1):
         sent = spark.sparkContext.broadcast(list(tables))
 
-        def ask(rows: list, sent=sent) -> Iterator[pa.RecordBatch]:
-            block = _Block(rows, (n, v, *leasts), hot, buckets, sent.value)
-            block.deepen()
-            for bucket, payload in block.requests():
-                yield _rows([(rows[0][0], 3, bucket, payload, None, None)])
-
-        asked = _at_blocks([blocks, *answers], ask, _SCHEMA, tasks)
-        answered = stored(_contexts(asked, buckets, hot, 10 + d), "lm-contexts")
-        tables.append(_hot_table(answered.filter("kind = 9").select("payload").collect()))
-        answers.append(answered.filter(f"kind = {10 + d}"))
-    sent = spark.sparkContext.broadcast(list(tables))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = None if kind not in ("bigint", "int", "string") else {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-    def finish(rows: list) -> Iterator[pa.RecordBatch]:
-        b = _Block(rows, (n, v, *leasts), hot, buckets, sent.value)
-        starts = np.cumsum(b.lens.astype(np.int64)) - b.lens
+        def ask(block: int, payload: bytes, parts: list, d: int = d, sent=sent) -> Iterator[tuple[int, int, bytes]]:
+            b = _Block(payload, parts, totals, sent.value, buckets, depth, hot)
+            b.ask(d)
+            for bucket, request in b.requests(d):
+                yield block, bucket, request
+
+        answers.append(_kept(_owned(_at_blocks(blocks, answers, ask, _ROWS), buckets, _count_pairs(hot)), tasks, "lm-pairs"))
+        table, deeper = _hot(answers[-1])
+        tables.append(table)
+        if not deeper:
+            break
+    sent = spark.sparkContext.broadcast(tables)
+
+    def look(block: int, payload: bytes, parts: list) -> Iterator[tuple[int, int, bytes]]:
+        b = _Block(payload, parts, totals, sent.value, buckets, depth, hot)
+        b.window()
+        for bucket, request in b.window_requests():
+            yield block, bucket, request
+
+    tested = _owned(_at_blocks(blocks, answers, look, _ROWS), buckets, _test_windows(depth))
+    found = tested.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("parts"))
+
+    def finish(block: int, payload: bytes, parts: list) -> Iterator[pa.RecordBatch]:
+        b = _Block(payload, parts[:-1], totals, sent.value, buckets, depth, hot)
+        b.window()
+        b.finish(parts[-1])
+        starts = np.cumsum(b.lens) - b.lens
         add = lambda x: np.add.reduceat(x, starts)
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(b.ids, id_type), "held_out": pa.array(b.held.tolist(), pa.bool_()), "n_tokens": pa.array(b.lens.astype(np.int64)), "n_known": pa.array(add((b.count > 0).astype(np.int64))),
-            "train_tokens": pa.array([n] * len(b.ids), pa.int64()), "base_score": pa.array(add(np.log10(b.base))), "score": pa.array(add(np.log10(b.p))), "n_context": pa.array(add((b.state > 0).astype(np.int64))),
+            "doc_id": pa.array(b.ids, pa.string()), "held_out": pa.array(b.held.tolist(), pa.bool_()), "n_tokens": pa.array(b.lens), "n_known": pa.array(add((b.gram[1] > 0).astype(np.int64))),
+            "train_tokens": pa.array([b.n] * len(b.ids), pa.int64()), "base_score": pa.array(add(np.log10(b.base))), "score": pa.array(add(np.log10(b.p))), "n_context": pa.array(add((b.state > 0).astype(np.int64))),
         })
 
-    return _at_blocks([blocks, *answers], finish, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_context bigint", tasks)
+    out = _at_blocks(blocks, [*answers, found], finish, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_context bigint")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def query(docs: DataFrame) -> DataFrame:
