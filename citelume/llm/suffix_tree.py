@@ -253,7 +253,7 @@ def _totals(table: DataFrame) -> tuple[int, int]:
 
 
 class _Block:
-    """A block's documents with what the answers so far say of them.
+    """A block's documents with what the answers so far say of them. Words are held by their small numbers in the block.
 
     gram[d]: how often the d words that end here stand in training; -1 where that isn't known, and then it is HOT at most.
     """
@@ -261,100 +261,90 @@ class _Block:
     def __init__(self, payload: bytes, answers: list[dict[int, bytes]], totals: tuple[int, int], tables: list[dict[int, int]], buckets: int, depth: int, hot: int) -> None:
         ids, lens, held, seq, bucket = _unpack(payload)
         self.ids = json.loads(ids.tobytes())
-        self.lens, self.held, self.local = lens.astype(np.int64), held.astype(bool), seq.astype(np.int64)
+        self.lens, self.held, self.local = lens.astype(np.int64), held.astype(bool), seq.astype(np.int32)
         self.n, self.v = totals
-        self.buckets, self.depth, self.hot = buckets, depth, hot
-        count, number = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.uint64)
+        self.buckets, self.depth, self.hot, self.kinds = buckets, depth, hot, len(bucket)
+        count, self.number = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.uint64)
         by = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for r, part in answers[0].items():
             at = by[edges[r] : edges[r + 1]]
-            count[at], number[at] = _unpack(part)
-        self.kinds = len(bucket)
-        self.word, self.train = number[self.local], ~np.repeat(self.held, self.lens)
-        self.place = np.arange(len(seq)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+            count[at], self.number[at] = _unpack(part)
+        self.train = ~np.repeat(self.held, self.lens)
+        self.place = (np.arange(len(seq)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)).astype(np.int32)
         self.gram = [None, count[self.local]]
-        self.base = (self.gram[1] + 1) / (self.n + self.v + 1)
-        self.p, self.state = self.base.copy(), np.zeros(len(seq), np.int64)
-        self.context = [None]  # a number in the block for the context of d words
-        self.key = [None]  # and for all blocks
+        self.p, self.state = ((count + 1) / (self.n + self.v + 1))[self.local], np.zeros(len(seq), np.int8)
         for d, part in enumerate(answers[1:], 1):
             self.ask(d)
             self.hear(d, part, tables[d - 1])
 
-    def back(self, x: np.ndarray, d: int) -> np.ndarray:
-        """x, d words before."""
-        out = np.zeros_like(x)
-        if d < len(x):
-            out[d:] = x[:-d]
+    def key(self, at: np.ndarray, d: int) -> np.ndarray:
+        """The context of d words at positions, as all blocks know it."""
+        out = self.number[self.local[at - 1]]
+        for i in range(2, d + 1):
+            out = mixed(out * _ODD + self.number[self.local[at - i]] + np.uint64(i))
         return out
 
     def ask(self, d: int) -> None:
         """The pairs of contexts of d words and next words that are asked for: all of one word, hot ones of more."""
-        before, word = self.back(self.local, d), self.back(self.word, d)
-        if d == 1:
-            self.context.append(before)
-            self.key.append(word)
-        else:
-            self.context.append(_numbered(self.context[-1] * self.kinds + before)[1])
-            self.key.append(mixed(self.key[-1] * _ODD + word + np.uint64(d)))
-        self.total = self.back(self.gram[d], 1)
-        self.at = at = np.flatnonzero((self.place >= d) & (self.total >= CONTEXT if d == 1 else self.total > self.hot))
-        first, self.pair_of = _numbered(self.context[d][at] * self.kinds + self.local[at])
+        before = np.zeros(len(self.local), np.int64)
+        before[1:] = self.gram[d][:-1]
+        self.at = at = np.flatnonzero((self.place >= d) & (before >= CONTEXT if d == 1 else before > self.hot))
+        context = self.local[at - 1].astype(np.int64)
+        for i in range(2, d + 1):
+            context = _numbered(context * self.kinds + self.local[at - i])[1]
+        self.total = before[at]
+        first, pair_of = _numbered(context * self.kinds + self.local[at])
         where = at[first]  # a representative of each pair
-        key, word = self.key[d][where], self.word[where]
-        owner = mixed(np.where(self.total[where] > self.hot, key ^ mixed(word), key)) % np.uint64(self.buckets)
+        key, word, hot = self.key(where, d), self.number[self.local[where]], before[where] > self.hot
+        owner = mixed(np.where(hot, key ^ mixed(word), key)) % np.uint64(self.buckets)
         # a context at an owner is a unit; units are sorted by owner, their pairs stand together
-        self.order = order = np.argsort(_narrow(owner), kind="stable")
-        self.place_of = np.empty(len(order), np.int64)
-        self.place_of[order] = np.arange(len(order))
-        self.pairs, self.owner = where[order], owner[order]
-        c = self.context[d][self.pairs]
-        self.unit = np.cumsum(np.concatenate([[False], (c[1:] != c[:-1]) | (self.owner[1:] != self.owner[:-1])])) if len(c) else np.zeros(0, np.int64)
+        order = np.argsort(_narrow(owner), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.pair_of = place[pair_of]
+        self.pairs, self.keys, self.words, self.are_hot, owner, c = where[order], key[order], word[order], hot[order], owner[order], context[first][order]
+        self.unit = np.cumsum(np.concatenate([[False], (c[1:] != c[:-1]) | (owner[1:] != owner[:-1])])) if len(c) else np.zeros(0, np.int64)
+        self.edges = np.searchsorted(owner, np.arange(self.buckets + 1, dtype=np.uint64))
 
     def requests(self, d: int) -> Iterator[tuple[int, bytes]]:
         """For each owner: contexts, how many pairs each has, whether they are hot, then the pairs: word, twice the count (and 1 if
         held-out text asks), state below."""
-        counts = np.bincount(self.pair_of, self.train[self.at], len(self.pairs)).astype(np.int64)
-        held = np.bincount(self.pair_of, ~self.train[self.at], len(self.pairs)) > 0
-        asked = (2 * counts + held)[self.order]
-        hot = (self.total[self.pairs] > self.hot).astype("<u1")
+        train = self.train[self.at]
+        asked = 2 * np.bincount(self.pair_of, train, len(self.pairs)).astype(np.int64) + (np.bincount(self.pair_of, ~train, len(self.pairs)) > 0)
         below = rounded(self.p[self.pairs])
-        edges = np.searchsorted(self.owner, np.arange(self.buckets + 1, dtype=np.uint64))
         for r in range(self.buckets):
-            s = slice(edges[r], edges[r + 1])
+            s = slice(self.edges[r], self.edges[r + 1])
             if s.start < s.stop:
                 unit = self.unit[s] - self.unit[s.start]
                 first = np.flatnonzero(np.diff(unit, prepend=-1))
-                yield r, _pack(_narrow(self.key[d][self.pairs[s]][first]), _narrow(np.diff(first, append=len(unit))), hot[s][first], _narrow(self.word[self.pairs[s]]), _narrow(asked[s]), below[s])
+                yield r, _pack(_narrow(self.keys[s][first]), _narrow(np.diff(first, append=len(unit))), self.are_hot[s][first].astype("<u1"), _narrow(self.words[s]), _narrow(asked[s]), below[s])
 
     def hear(self, d: int, parts: dict[int, bytes], table: dict[int, int]) -> None:
         """Takes the pairs' counts, and how many next words a context has (0: not kept)."""
-        edges = np.searchsorted(self.owner, np.arange(self.buckets + 1, dtype=np.uint64))
         n, next_ = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.pairs), np.int64)
         for r, part in parts.items():
-            s = slice(edges[r], edges[r + 1])
+            s = slice(self.edges[r], self.edges[r + 1])
             n[s], kinds = _unpack(part)
             next_[s] = kinds[self.unit[s] - self.unit[s.start]]
-        hot = np.flatnonzero(self.total[self.pairs] > self.hot)
-        if len(hot):
-            first, of = _numbered(self.key[d][self.pairs[hot]])
-            next_[hot] = np.array([table.get(int(k), 0) for k in self.key[d][self.pairs[hot[first]]]], np.int64)[of]
-        mine = self.place_of[self.pair_of]
-        own, kinds, total = n[mine] // 2, next_[mine], self.total[self.at]
+        if len(hot := np.flatnonzero(self.are_hot)):
+            first, of = _numbered(self.keys[hot])
+            next_[hot] = np.array([table.get(int(k), 0) for k in self.keys[hot][first]], np.int64)[of]
+        own = n[self.pair_of]
         gram = np.full(len(self.local), 0 if d == 1 else -1, np.int64)
-        gram[self.at] = own
+        gram[self.at] = own // 2
         self.gram.append(gram)
         if d == 1:
             self.once = np.zeros(len(self.local), bool)  # the pair's one occurrence, which held-out text doesn't ask for
-            self.once[self.at] = n[mine] == 2
+            self.once[self.at] = own == 2
+        kinds = next_[self.pair_of]
         live = (kinds > 0) & (self.state[self.at] == d - 1)
-        at, total = self.at[live], total[live]
-        self.p[at] = np.maximum(own[live] - DISCOUNT, 0) / total + DISCOUNT * kinds[live] / total * self.p[at]
+        at, total, kinds = self.at[live], self.total[live], kinds[live]
+        self.p[at] = np.maximum(own[live] // 2 - DISCOUNT, 0) / total + DISCOUNT * kinds / total * self.p[at]
         self.state[at] = d
 
     def window(self) -> None:
-        """The distinct windows to be asked for, by owner: the state, the words before (0 from where no context recurs), the next word."""
+        """The distinct windows to be asked for, by owner: the state, the words before (none from where no context recurs), the next word."""
         at = np.flatnonzero((self.state > 0) & (self.state < self.depth) & (self.place > self.state))
         start = self.state[at] + 1
         count = np.full(len(at), -1, np.int64)
@@ -362,68 +352,63 @@ class _Block:
             now = start == d
             count[now] = self.gram[d][at[now] - 1]
         go = (count < 0) | (count >= CONTEXT) & (count <= self.hot)
-        at, start = at[go], start[go]
-        local, words = [self.local[at - 1]], [self.word[at - 1]]
-        alive = np.ones(len(at), bool)
-        for d in range(2, self.depth + 1):
-            alive = alive & (self.place[at] >= d)
-            alive &= (start >= d) | (self.gram[2][np.maximum(at - d + 1, 0)] >= CONTEXT)
-            there = np.maximum(at - d, 0)
-            words.append(np.where(alive, self.word[there], np.uint64(0)))
-            local.append(np.where(alive, self.local[there] + 1, 0))
-        next_ = np.where(self.once[at], np.uint64(ONCE), self.word[at])
-        key = start.astype(np.uint64)
-        for x in (*words, next_):
-            key = mixed(key * _ODD + x)
+        at, start = at[go], start[go].astype(np.int8)
+        words, alive = [], np.ones(len(at), bool)  # numbers in the block and 1, or 0
+        for d in range(1, self.depth + 1):
+            alive &= (self.place[at] >= d) & ((start >= d) | (self.gram[2][np.maximum(at - d + 1, 0)] >= CONTEXT if d > 1 else True))
+            words.append(np.where(alive, self.local[np.maximum(at - d, 0)] + 1, 0).astype(np.int32))
+        words.append(np.where(self.once[at], 0, self.local[at] + 1).astype(np.int32))  # the next word; 0: it occurs once
+        words.append(start)
+        key = np.zeros(len(at), np.uint64)
+        for x in words:
+            key = mixed(key * _ODD + x.astype(np.uint64))
         order = np.argsort(key)
-        columns = [x[order] for x in (*words, next_, start)]
         new = np.ones(len(order), bool)
-        if len(order):
-            new[1:] = False
-            for x in columns:
-                new[1:] |= x[1:] != x[:-1]
-        number = np.empty(len(order), np.int64)
+        new[1:] = False
+        for x in words:
+            x = x[order]
+            new[1:] |= x[1:] != x[:-1]
+        number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         first = order[new]
-        words, next_, start, local = [x[first] for x in words], next_[first], start[first], [x[first] for x in local]
-        hashed = start.astype(np.uint64)
-        for d, x in enumerate(words, 1):
-            hashed = np.where(start >= d, mixed(hashed * _ODD + x), hashed)
+        words = [x[first] for x in words]
+        everywhere = np.concatenate([np.zeros(1, np.uint64), self.number])
+        hashed = words[-1].astype(np.uint64)
+        for d, x in enumerate(words[:-2], 1):
+            hashed = np.where(words[-1] >= d, mixed(hashed * _ODD + everywhere[x]), hashed)
         owner = hashed % np.uint64(self.buckets)
         bits = max(1, int(self.kinds + 1).bit_length())
         near = np.zeros(len(first), np.uint64)  # equal contexts stand together
-        for d, x in enumerate(local[:3], 1):
+        for d, x in enumerate(words[:-2][:3], 1):
             shift = 64 - d * bits
             near |= x.astype(np.uint64) << np.uint64(shift) if shift >= 0 else x.astype(np.uint64) >> np.uint64(-shift)
         order = np.argsort(near, kind="stable")
         order = order[np.argsort(_narrow(owner)[order], kind="stable")]
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.at, self.of = at, place[number]
-        self.windows = [x[order] for x in words], next_[order], start[order]
-        self.owner = owner[order]
-        self.edges = np.searchsorted(self.owner, np.arange(self.buckets + 1, dtype=np.uint64))
-        self.first = at[first][order]
+        self.at, self.of, self.first = at, place[number], at[first][order]
+        self.windows, self.everywhere = [x[order] for x in words], everywhere
+        self.edges = np.searchsorted(owner[order], np.arange(self.buckets + 1, dtype=np.uint64))
 
     def window_requests(self) -> Iterator[tuple[int, bytes]]:
-        """For each owner: next word, training count, state below, state, then the words before."""
-        counts = np.bincount(self.of, self.train[self.at], len(self.owner)).astype(np.int64)
+        """For each owner: next word, training count, state below, shortest context, then the words before."""
+        counts = np.bincount(self.of, self.train[self.at], len(self.first)).astype(np.int64)
         below = rounded(self.p[self.first])
-        words, next_, start = self.windows
+        *before, next_, start = self.windows
         for r in range(self.buckets):
             s = slice(self.edges[r], self.edges[r + 1])
             if s.start < s.stop:
-                yield r, _pack(_narrow(next_[s]), _narrow(counts[s]), below[s], start[s].astype("<u1"), *(_narrow(x[s]) for x in words))
+                yield r, _pack(_narrow(self.everywhere[next_[s]]), _narrow(counts[s]), below[s], start[s].astype("<u1"), *(_narrow(self.everywhere[x[s]]) for x in before))
 
     def finish(self, parts: dict[int, bytes]) -> None:
-        state, a, b = np.zeros(len(self.owner), np.int64), np.zeros(len(self.owner)), np.ones(len(self.owner))
+        state, a, b = np.zeros(len(self.first), np.int8), np.zeros(len(self.first)), np.ones(len(self.first))
         for r, part in parts.items():
             s = slice(self.edges[r], self.edges[r + 1])
             state[s], more, share = _unpack(part)
             some = np.arange(s.start, s.stop)[state[s] > 0]
             a[some], b[some] = more, share
-        found = state[self.of]
-        at, of = self.at[found > 0], self.of[found > 0]
+        found = state[self.of] > 0
+        at, of = self.at[found], self.of[found]
         self.p[at] = a[of] + b[of] * self.p[at]
         self.state[at] = state[of]
 
@@ -622,7 +607,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
         add = lambda x: np.add.reduceat(x, starts)
         yield pa.RecordBatch.from_pydict({
             "doc_id": pa.array(b.ids, pa.string()), "held_out": pa.array(b.held.tolist(), pa.bool_()), "n_tokens": pa.array(b.lens), "n_known": pa.array(add((b.gram[1] > 0).astype(np.int64))),
-            "train_tokens": pa.array([b.n] * len(b.ids), pa.int64()), "base_score": pa.array(add(np.log10(b.base))), "score": pa.array(add(np.log10(b.p))), "n_context": pa.array(add((b.state > 0).astype(np.int64))),
+            "train_tokens": pa.array([b.n] * len(b.ids), pa.int64()), "base_score": pa.array(add(np.log10((b.gram[1] + 1) / (b.n + b.v + 1)))), "score": pa.array(add(np.log10(b.p))), "n_context": pa.array(add((b.state > 0).astype(np.int64))),
         })
 
     out = _at_blocks(blocks, [*answers, found], finish, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_context bigint")
