@@ -41,7 +41,7 @@ from .common import batches, mixed, shared_dir
 #: Longest context; least count of a context (one seen once has nothing to hold back); absolute discount; least gain in nats.
 DEPTH, CONTEXT, DISCOUNT, GAIN = 4, 2, 0.75, 5.0
 #: Bytes of text in a block (one document at least), and of text for each bucket.
-BLOCK, BUCKET = 12 << 20, 16 << 20
+BLOCK, BUCKET = 8 << 20, 16 << 20
 #: A context of more occurrences than this has no single owner.
 HOT = 1 << 20
 #: In the test the logarithm of the state below is rounded to so many steps a nat.
@@ -277,6 +277,7 @@ class _Block:
         for d, part in enumerate(answers[1:], 1):
             self.ask(d)
             self.hear(d, part, tables[d - 1])
+            del self.total, self.pair_of, self.pairs, self.keys, self.words, self.are_hot, self.unit  # memory
 
     def key(self, at: np.ndarray, d: int) -> np.ndarray:
         """The context of d words at positions, as all blocks know it."""
@@ -551,7 +552,9 @@ def _at_blocks(blocks: DataFrame, answers: list[DataFrame], function, schema: st
                 row = batch.slice(i, 1)
                 parts = [{p["bucket"]: p["payload"] for p in row.column(c)[0].as_py() or ()} for c in names]
                 made = function(row.column("block")[0].as_py(), row.column("payload")[0].as_py(), parts)
+                del parts
                 yield from _rows(made) if schema == _ROWS else made
+                pa.default_memory_pool().release_unused()
 
     return together.mapInArrow(run, schema)
 
@@ -569,7 +572,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(-(-size // BUCKET) or 1)
-    tasks = min(buckets, 100_000)
+    tasks = int(min(-(-size // BLOCK) or 1, 100_000))
     blocks = _kept(_encode(plain, buckets), tasks, "lm-blocks", False)
     words = _kept(_owned(blocks.filter("bucket >= 0"), buckets, _count_words(buckets)), tasks, "lm-words")
     totals = _totals(words)
