@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mixed, shared_dir
+from .common import batches, mixed, scratch
 
 #: Longest context; least count of a context (one seen once has nothing to hold back); absolute discount; least gain in nats.
 DEPTH, CONTEXT, DISCOUNT, GAIN = 4, 2, 0.75, 5.0
@@ -78,6 +78,26 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
+def _steps(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Rising runs as their steps; new marks where a run begins, which stays as it is."""
+    out = x.copy()
+    out[1:] -= np.where(new[1:], 0, x[:-1]).astype(x.dtype)
+    return out
+
+
+def _unstepped(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    total = np.cumsum(x.astype(np.uint64), dtype=np.uint64)
+    start = np.flatnonzero(new)
+    return total - np.repeat(total[start] - x[start], np.diff(start, append=len(x)))
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of a representative of each distinct key, in the keys' order; number of each key)."""
     order = np.argsort(key)
@@ -232,7 +252,7 @@ def _kept(rows: DataFrame, tasks: int, name: str, grouped: bool = True) -> DataF
     """rows stored by block, one row for each with all its payloads, so that later joins by block don't move them."""
     if grouped:
         rows = rows.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("parts"))
-    path, table = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}", f"citelume_{uuid.uuid4().hex}"
+    path, table = scratch(rows.sparkSession, name), f"citelume_{uuid.uuid4().hex}"
     rows.write.option("path", path).option("compression", "uncompressed").bucketBy(tasks, "block").sortBy("block").saveAsTable(table)
     out = rows.sparkSession.table(table)
     rows.sparkSession.sql(f"DROP TABLE {table}")  # its files stay, and so does what was read from the catalog
@@ -270,6 +290,11 @@ class _Block:
         for r, part in answers[0].items():
             at = by[edges[r] : edges[r + 1]]
             count[at], self.number[at] = _unpack(part)
+        # from here on the block's numbers rise with those of all blocks, so what is sorted by one is sorted by the other
+        order = np.argsort(self.number, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.local, count, self.number = rank[self.local], count[order], self.number[order]
         self.train = ~np.repeat(self.held, self.lens)
         self.place = (np.arange(len(seq)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)).astype(np.int32)
         self.gram = [None, count[self.local]]
@@ -319,7 +344,12 @@ class _Block:
             if s.start < s.stop:
                 unit = self.unit[s] - self.unit[s.start]
                 first = np.flatnonzero(np.diff(unit, prepend=-1))
-                yield r, _pack(_narrow(self.keys[s][first]), _narrow(np.diff(first, append=len(unit))), self.are_hot[s][first].astype("<u1"), _narrow(self.words[s]), _narrow(asked[s]), below[s])
+                keys, new = self.keys[s][first], np.zeros(len(unit), bool)
+                new[first] = True
+                if d == 1:  # numbers rise; longer contexts are hashes
+                    keys = _steps(keys, np.arange(len(keys)) == 0)
+                words = _steps(self.words[s], new)
+                yield r, _pack(_narrow(keys), _narrow(np.diff(first, append=len(unit))), self.are_hot[s][first].astype("<u1"), _narrow(words), _narrow(asked[s]), below[s])
 
     def hear(self, d: int, parts: dict[int, bytes], table: dict[int, int]) -> None:
         """Takes the pairs' counts, and how many next words a context has (0: not kept)."""
@@ -362,8 +392,8 @@ class _Block:
         words.append(start)
         key = np.zeros(len(at), np.uint64)
         for x in words:
-            key = mixed(key * _ODD + x.astype(np.uint64))
-        order = np.argsort(key)
+            key = key * _ODD + x.astype(np.uint64)
+        order = np.argsort(mixed(key))
         new = np.ones(len(order), bool)
         new[1:] = False
         for x in words:
@@ -374,9 +404,11 @@ class _Block:
         first = order[new]
         words = [x[first] for x in words]
         everywhere = np.concatenate([np.zeros(1, np.uint64), self.number])
-        hashed = words[-1].astype(np.uint64)
+        # all windows after a word have one owner, but for a hot word's: those are dealt out by the shortest context in question
+        deep = np.where(self.gram[1][at[first] - 1] > self.hot, words[-1], 1)
+        hashed = np.zeros(len(first), np.uint64)
         for d, x in enumerate(words[:-2], 1):
-            hashed = np.where(words[-1] >= d, mixed(hashed * _ODD + everywhere[x]), hashed)
+            hashed = np.where(deep >= d, mixed(hashed * _ODD + everywhere[x]), hashed)
         owner = hashed % np.uint64(self.buckets)
         bits = max(1, int(self.kinds + 1).bit_length())
         near = np.zeros(len(first), np.uint64)  # equal contexts stand together
@@ -399,15 +431,24 @@ class _Block:
         for r in range(self.buckets):
             s = slice(self.edges[r], self.edges[r + 1])
             if s.start < s.stop:
-                yield r, _pack(_narrow(self.everywhere[next_[s]]), _narrow(counts[s]), below[s], start[s].astype("<u1"), *(_narrow(self.everywhere[x[s]]) for x in before))
+                first, *more = (self.everywhere[x[s]] for x in before)
+                new = _changes(first)
+                if more:
+                    more[0] = _steps(more[0], new)
+                yield r, _pack(_narrow(self.everywhere[next_[s]]), _narrow(counts[s]), below[s], start[s].astype("<u1"), _narrow(_steps(first, np.arange(len(first)) == 0)), *map(_narrow, more))
 
     def finish(self, parts: dict[int, bytes]) -> None:
         state, a, b = np.zeros(len(self.first), np.int8), np.zeros(len(self.first)), np.ones(len(self.first))
         for r, part in parts.items():
             s = slice(self.edges[r], self.edges[r + 1])
-            state[s], more, share = _unpack(part)
-            some = np.arange(s.start, s.stop)[state[s] > 0]
-            a[some], b[some] = more, share
+            state[s], *more = _unpack(part)
+            begun = self.windows[-1][s]
+            for d in range(2, self.depth + 1):
+                some = s.start + np.flatnonzero((state[s] >= d) & (begun <= d))
+                n, total, kinds, *more = more
+                share = DISCOUNT * kinds / total
+                a[some] = np.maximum(n - DISCOUNT, 0) / total + share * a[some]
+                b[some] *= share
         found = state[self.of] > 0
         at, of = self.at[found], self.of[found]
         self.p[at] = a[of] + b[of] * self.p[at]
@@ -417,16 +458,19 @@ class _Block:
 # --- owners of contexts
 
 
-def _count_pairs(most: int):
+def _count_pairs(d: int, most: int):
     def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
         """Per block twice the corpus-wide training count of each pair (and 1 if held-out text asks for it), and the number of
         next words of each kept context; of hot contexts (of which this may be a part) sums, and what their test needs."""
         join = lambda i, kind: np.concatenate([a[i].astype(kind) for a in asked])
-        sizes, units = join(1, np.int64), join(0, np.uint64)
+        sizes = join(1, np.int64)
+        units = np.concatenate([_unstepped(a[0], np.arange(len(a[0])) == 0) if d == 1 else a[0].astype(np.uint64) for a in asked])
         firsts, context = _numbered(units)
         keys, hot = units[firsts], join(2, bool)[firsts]
         context, asks = np.repeat(context, sizes), join(4, np.int64)
-        _, of = _numbered(context.astype(np.uint64) << np.uint64(40) | join(3, np.uint64))
+        new = np.zeros(len(context), bool)
+        new[np.cumsum(sizes) - sizes] = True
+        _, of = _numbered(context.astype(np.uint64) << np.uint64(40) | _unstepped(join(3, np.uint64), new))
         first = np.empty(int(of.max()) + 1, np.int64)
         first[of] = np.arange(len(of))
         n = np.bincount(of, asks // 2, len(first)).astype(np.int64)
@@ -454,12 +498,16 @@ def _count_pairs(most: int):
 
 def _test_windows(depth: int):
     def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
-        """Per block the state of each window (0: as it was), and of those with one a and b: its probability is a + b times
-        that of the state as it was."""
+        """Per block the state of each window (0: as it was), and for each depth up to it the next word's count, the
+        context's, and how many next words it has."""
+        for a in asked:
+            a[4] = _unstepped(a[4], np.arange(len(a[4])) == 0)
+            if depth > 1:
+                a[5] = _unstepped(a[5], _changes(a[4]))
         join = lambda i, kind: np.concatenate([a[i].astype(kind) for a in asked])
-        word, count, start = join(0, np.uint64), join(1, np.int64), join(3, np.int64)
+        word, count, start = join(0, np.uint64), join(1, np.int64), join(3, np.int8)
         q = np.exp(-join(2, np.float64) / STEPS)
-        state, a, b = np.zeros(len(word), np.int64), np.zeros(len(word)), np.ones(len(word))
+        state, found = np.zeros(len(word), np.int8), {d: [np.zeros(0, np.int64)] * 4 for d in range(2, depth + 1)}
         context = _numbered(join(4, np.uint64))[1]
         live = np.ones(len(word), bool)
         for d in range(2, depth + 1):
@@ -473,26 +521,25 @@ def _test_windows(depth: int):
             _, pair = _numbered(own.astype(np.uint64) << np.uint64(40) | word[at])
             first = np.empty(int(pair.max()) + 1, np.int64)
             first[pair] = np.arange(len(pair))
-            once = word[at] == ONCE
             n = np.bincount(pair, count[at], len(first)).astype(np.int64)
-            single = once[first]  # each occurrence is a next word of its own
+            single = word[at[first]] == ONCE  # each occurrence is a next word of its own
             of, some = own[first], n > 0
-            kinds = np.bincount(of[some], np.where(single[some], n[some], 1), len(total))
+            kinds = np.bincount(of[some], np.where(single[some], n[some], 1), len(total)).astype(np.int64)
             share = DISCOUNT * kinds / np.maximum(total, 1)
             each = np.where(single, 1, n)
             gain = gains(each, total[of], q[at][first], np.maximum(share[of], 1e-9)) * np.where(single, n, 1)
             gain = np.bincount(of[some], gain[some], len(total))
             kept = ((total >= CONTEXT) & (gain >= GAIN))[own]
-            own, at = own[kept], at[kept]
-            mine = np.maximum(each[pair[kept]] - DISCOUNT, 0) / total[own]
-            a[at], b[at], q[at] = mine + share[own] * a[at], share[own] * b[at], mine + share[own] * q[at]
+            own, at, each = own[kept], at[kept], each[pair[kept]]
+            q[at] = np.maximum(each - DISCOUNT, 0) / total[own] + share[own] * q[at]
             state[at] = d
+            found[d] = [at, each, total[own], kinds[own]]
         at = 0
         for block, request in zip(blocks, asked, strict=True):
-            own = slice(at, at + len(request[0]))
-            at = own.stop
-            some = state[own] > 0
-            yield block, bucket, _pack(state[own].astype("<u1"), a[own][some].astype("<f4"), b[own][some].astype("<f4"))
+            own = at, at + len(request[0])
+            at = own[1]
+            parts = [_narrow(x[slice(*np.searchsorted(where, own))]) for where, *some in found.values() for x in some]
+            yield block, bucket, _pack(state[own[0] : own[1]].astype("<u1"), *parts)
 
     return answer
 
@@ -586,7 +633,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
             for bucket, request in b.requests(d):
                 yield block, bucket, request
 
-        answers.append(_kept(_owned(_at_blocks(blocks, answers, ask, _ROWS), buckets, _count_pairs(hot)), tasks, "lm-pairs"))
+        answers.append(_kept(_owned(_at_blocks(blocks, answers, ask, _ROWS), buckets, _count_pairs(d, hot)), tasks, "lm-pairs"))
         table, deeper = _hot(answers[-1])
         tables.append(table)
         if not deeper:
