@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is set only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one is set in local
+    mode, as in tests; on a cluster executors wouldn't see it, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="citelume-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -27,11 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: later reads don't compute it again and survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders below the shared one that this driver has named for intermediate tables.
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    _SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the intermediate tables named since then but for those to keep. Results that still read them can't be computed
+    any more."""
+    for path in _SCRATCH[since:]:
+        if path not in keep:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _SCRATCH[since:] = keep
+
+
+def named() -> int:
+    """How many intermediate tables there are: what release() takes."""
+    return len(_SCRATCH)
+
+
 def text_of(column: str = "text") -> F.Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
