@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,13 @@ def named() -> int:
     return len(_SCRATCH)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets the executors delete the shuffle files of jobs that nothing refers to any more, as their results are stored. They
+    would stay until the driver's heap happens to be collected, which takes long where the driver does little."""
+    gc.collect()  # what Python still holds of them
+    spark._jvm.System.gc()
+
+
 def text_of(column: str = "text") -> F.Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mixed, scratch
+from .common import batches, forget_shuffles, mixed, scratch
 
 #: Longest context; least count of a context (one seen once has nothing to hold back); absolute discount; least gain in nats.
 DEPTH, CONTEXT, DISCOUNT, GAIN = 4, 2, 0.75, 5.0
@@ -46,6 +46,8 @@ BLOCK, BUCKET = 8 << 20, 16 << 20
 HOT = 1 << 20
 #: In the test the logarithm of the state below is rounded to so many steps a nat.
 STEPS = 16
+#: Bytes a plane, on average, from which planes are compressed apart.
+APART = 1024
 #: Documents whose crc32 of the id's text has this remainder by 7 are held out.
 HELD = 2
 #: Numbers of next words: known to occur once, in training; not in training. Words have numbers from 2 on; 0 is also no word.
@@ -57,18 +59,29 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes of equal weight side by side, which compress better."""
+    """Arrays as bytes of equal weight side by side. Long ones are compressed apart, as each has frequencies of its own."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<BQ", _CODES[x.dtype], len(x)) for x in arrays)
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays), 3)
+    planes = [plane.tobytes() for x in arrays for plane in np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T]
+    if sum(map(len, planes)) < APART * len(planes):
+        return b"\0" + zstandard.compress(head + b"".join(planes), 3)
+    packed = [zstandard.compress(plane, 3) for plane in planes]
+    return b"\1" + head + struct.pack(f"<{len(packed)}I", *map(len, packed)) + b"".join(packed)
 
 
 def _unpack(b: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(b)
-    heads, at, out, every = [struct.unpack_from("<BQ", raw, 1 + 9 * i) for i in range(raw[0])], 1 + 9 * raw[0], [], np.frombuffer(raw, np.uint8)
-    for code, n in heads:
-        kind = np.dtype(_KINDS[code])
-        out.append(np.ascontiguousarray(every[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
-        at += n * kind.itemsize
+    apart, raw = b[0], b[1:] if b[0] else zstandard.decompress(b[1:])
+    heads, at, out = [struct.unpack_from("<BQ", raw, 1 + 9 * i) for i in range(raw[0])], 1 + 9 * raw[0], []
+    kinds = [np.dtype(_KINDS[code]) for code, _ in heads]
+    sizes = iter(struct.unpack_from(f"<{sum(k.itemsize for k in kinds)}I", raw, at)) if apart else iter(())
+    at += 4 * sum(k.itemsize for k in kinds) * apart
+    every = memoryview(raw)
+    for kind, (_, n) in zip(kinds, heads, strict=True):
+        x = np.empty((n, kind.itemsize), np.uint8)
+        for plane in range(kind.itemsize):
+            size = next(sizes, n)
+            x[:, plane] = np.frombuffer(zstandard.decompress(every[at : at + size]) if apart else every[at : at + size], np.uint8) if n else 0
+            at += size
+        out.append(x.view(kind).ravel())
     return out
 
 
@@ -462,20 +475,25 @@ def _count_pairs(d: int, most: int):
     def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
         """Per block twice the corpus-wide training count of each pair (and 1 if held-out text asks for it), and the number of
         next words of each kept context; of hot contexts (of which this may be a part) sums, and what their test needs."""
-        join = lambda i, kind: np.concatenate([a[i].astype(kind) for a in asked])
-        sizes = join(1, np.int64)
+        join = lambda i: np.concatenate([a[i] for a in asked])
+        each_sizes, each_pairs = [a[1].astype(np.int64) for a in asked], [len(a[3]) for a in asked]
+        sizes = np.concatenate(each_sizes)
         units = np.concatenate([_unstepped(a[0], np.arange(len(a[0])) == 0) if d == 1 else a[0].astype(np.uint64) for a in asked])
         firsts, context = _numbered(units)
-        keys, hot = units[firsts], join(2, bool)[firsts]
-        context, asks = np.repeat(context, sizes), join(4, np.int64)
-        new = np.zeros(len(context), bool)
+        keys, hot = units[firsts], join(2).astype(bool)[firsts]
+        asks, below = join(4), join(5)
+        new = np.zeros(len(asks), bool)
         new[np.cumsum(sizes) - sizes] = True
-        _, of = _numbered(context.astype(np.uint64) << np.uint64(40) | _unstepped(join(3, np.uint64), new))
+        word = _unstepped(join(3), new)
+        asked.clear()  # memory
+        context = np.repeat(context, sizes).astype(np.int32)
+        _, of = _numbered(context.astype(np.uint64) << np.uint64(40) | word)
+        del units, word, new
         first = np.empty(int(of.max()) + 1, np.int64)
         first[of] = np.arange(len(of))
         n = np.bincount(of, asks // 2, len(first)).astype(np.int64)
         held = np.bincount(of, asks % 2, len(first)) > 0
-        owner, q = context[first], join(5, np.int64)[first]
+        owner, q = context[first], below[first].astype(np.int64)
         some = n > 0
         total = np.bincount(owner, n, len(keys)).astype(np.int64)
         kinds = np.bincount(owner[some], minlength=len(keys))
@@ -487,10 +505,10 @@ def _count_pairs(d: int, most: int):
             order = np.argsort(owner[more], kind="stable")
             yield -1 - bucket, bucket, _pack(keys[hot].astype("<u8"), total[hot].astype("<u8"), kinds[hot].astype("<u8"), each(n > most), each(more), _narrow(n[more][order]), q[more][order].astype("<u2"))
         said, at = 2 * n + held, 0
-        for block, a in zip(blocks, asked, strict=True):
-            own = slice(at, at + len(a[3]))
+        for block, own_sizes, pairs in zip(blocks, each_sizes, each_pairs, strict=True):
+            own = slice(at, at + pairs)
             at = own.stop
-            starts = np.cumsum(a[1].astype(np.int64)) - a[1]
+            starts = np.cumsum(own_sizes) - own_sizes
             yield block, bucket, _pack(_narrow(said[of[own]]), _narrow(kept[context[own][starts]]))
 
     return answer
@@ -504,15 +522,16 @@ def _test_windows(depth: int):
             a[4] = _unstepped(a[4], np.arange(len(a[4])) == 0)
             if depth > 1:
                 a[5] = _unstepped(a[5], _changes(a[4]))
-        join = lambda i, kind: np.concatenate([a[i].astype(kind) for a in asked])
-        word, count, start = join(0, np.uint64), join(1, np.int64), join(3, np.int8)
-        q = np.exp(-join(2, np.float64) / STEPS)
+        join = lambda i: np.concatenate([a[i] for a in asked])
+        word, count, start, before = join(0), join(1), join(3).astype(np.int8), [join(3 + d) for d in range(1, depth + 1)]
+        q, sizes = np.exp(-join(2).astype(np.float64) / STEPS), [len(a[0]) for a in asked]
+        asked.clear()  # memory
         state, found = np.zeros(len(word), np.int8), {d: [np.zeros(0, np.int64)] * 4 for d in range(2, depth + 1)}
-        context = _numbered(join(4, np.uint64))[1]
+        context = _numbered(before[0])[1].astype(np.int32)
         live = np.ones(len(word), bool)
         for d in range(2, depth + 1):
-            far = join(3 + d, np.uint64)
-            context = _numbered(context.astype(np.uint64) << np.uint64(40) | far)[1]
+            far = before[d - 1]
+            context = _numbered(context.astype(np.uint64) << np.uint64(40) | far)[1].astype(np.int32)
             live &= (far != 0) & ((start >= d) | (state == d - 1))
             if not (at := np.flatnonzero(live & (start <= d))).size:
                 continue
@@ -533,10 +552,10 @@ def _test_windows(depth: int):
             own, at, each = own[kept], at[kept], each[pair[kept]]
             q[at] = np.maximum(each - DISCOUNT, 0) / total[own] + share[own] * q[at]
             state[at] = d
-            found[d] = [at, each, total[own], kinds[own]]
+            found[d] = [at, _narrow(each), _narrow(total[own]), _narrow(kinds[own])]
         at = 0
-        for block, request in zip(blocks, asked, strict=True):
-            own = at, at + len(request[0])
+        for block, size in zip(blocks, sizes, strict=True):
+            own = at, at + size
             at = own[1]
             parts = [_narrow(x[slice(*np.searchsorted(where, own))]) for where, *some in found.values() for x in some]
             yield block, bucket, _pack(state[own[0] : own[1]].astype("<u1"), *parts)
@@ -622,6 +641,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     tasks = int(min(-(-size // BLOCK) or 1, 100_000))
     blocks = _kept(_encode(plain, buckets), tasks, "lm-blocks", False)
     words = _kept(_owned(blocks.filter("bucket >= 0"), buckets, _count_words(buckets)), tasks, "lm-words")
+    forget_shuffles(spark)
     totals = _totals(words)
     answers, tables = [words], []
     for d in range(1, depth + 1):
@@ -634,6 +654,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
                 yield block, bucket, request
 
         answers.append(_kept(_owned(_at_blocks(blocks, answers, ask, _ROWS), buckets, _count_pairs(d, hot)), tasks, "lm-pairs"))
+        forget_shuffles(spark)
         table, deeper = _hot(answers[-1])
         tables.append(table)
         if not deeper:
