@@ -47,14 +47,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the intermediate tables named since then but for those to keep. Results that still read them can't be computed
-    any more."""
-    for path in _SCRATCH[since:]:
+def release(spark: SparkSession, since: int = 0, to: int | None = None, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the intermediate tables named since then (up to then) but for those to keep. Results that still read them can't
+    be computed any more."""
+    for path in _SCRATCH[since:to]:
         if path not in keep:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _SCRATCH[since:] = keep
+    _SCRATCH[since:to] = keep
 
 
 def named() -> int:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, forget_shuffles, mixed, scratch
+from .common import batches, forget_shuffles, mixed, named, release, scratch, stored
 
 #: Longest context; least count of a context (one seen once has nothing to hold back); absolute discount; least gain in nats.
 DEPTH, CONTEXT, DISCOUNT, GAIN = 4, 2, 0.75, 5.0
@@ -45,7 +45,7 @@ BLOCK, BUCKET = 8 << 20, 16 << 20
 #: A context of more occurrences than this has no single owner.
 HOT = 1 << 20
 #: In the test the logarithm of the state below is rounded to so many steps a nat.
-STEPS = 16
+STEPS = 8
 #: Bytes a plane, on average, from which planes are compressed apart.
 APART = 1024
 #: Documents whose crc32 of the id's text has this remainder by 7 are held out.
@@ -111,6 +111,13 @@ def _changes(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs(word: np.ndarray, next_: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a representative of each case in which windows agree on the state below, number of each window's). Windows
+    that begin deeper have states of their own, and so has every window whose next word occurs once, where it doesn't matter."""
+    key = mixed(mixed(word.astype(np.uint64)) + next_.astype(np.uint64))
+    return _numbered(np.where(start > 2, np.arange(len(word), dtype=np.uint64), key))
+
+
 def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of a representative of each distinct key, in the keys' order; number of each key)."""
     order = np.argsort(key)
@@ -445,10 +452,11 @@ class _Block:
             s = slice(self.edges[r], self.edges[r + 1])
             if s.start < s.stop:
                 first, *more = (self.everywhere[x[s]] for x in before)
-                new = _changes(first)
                 if more:
-                    more[0] = _steps(more[0], new)
-                yield r, _pack(_narrow(self.everywhere[next_[s]]), _narrow(counts[s]), below[s], start[s].astype("<u1"), _narrow(_steps(first, np.arange(len(first)) == 0)), *map(_narrow, more))
+                    more[0] = _steps(more[0], _changes(first))
+                after = self.everywhere[next_[s]]
+                told, _ = _pairs(first, after, start[s])
+                yield r, _pack(_narrow(after), _narrow(counts[s]), below[s][told], start[s].astype("<u1"), _narrow(_steps(first, np.arange(len(first)) == 0)), *map(_narrow, more))
 
     def finish(self, parts: dict[int, bytes]) -> None:
         state, a, b = np.zeros(len(self.first), np.int8), np.zeros(len(self.first)), np.ones(len(self.first))
@@ -459,7 +467,11 @@ class _Block:
             for d in range(2, self.depth + 1):
                 some = s.start + np.flatnonzero((state[s] >= d) & (begun <= d))
                 n, total, kinds, *more = more
-                share = DISCOUNT * kinds / total
+                new = np.zeros(len(some), bool)
+                for x in self.windows[:d]:
+                    new |= _changes(x[some])
+                run = np.cumsum(new) - 1
+                total, share = total[run], (DISCOUNT * kinds / total)[run]
                 a[some] = np.maximum(n - DISCOUNT, 0) / total + share * a[some]
                 b[some] *= share
         found = state[self.of] > 0
@@ -516,17 +528,19 @@ def _count_pairs(d: int, most: int):
 
 def _test_windows(depth: int):
     def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
-        """Per block the state of each window (0: as it was), and for each depth up to it the next word's count, the
-        context's, and how many next words it has."""
+        """Per block the state of each window (0: as it was), and for each depth up to it the next word's count, and once for
+        windows of a context that stand together the context's count and how many next words it has."""
         for a in asked:
             a[4] = _unstepped(a[4], np.arange(len(a[4])) == 0)
             if depth > 1:
                 a[5] = _unstepped(a[5], _changes(a[4]))
         join = lambda i: np.concatenate([a[i] for a in asked])
+        for a in asked:
+            a[2] = a[2][_pairs(a[4], a[0], a[3])[1]]
         word, count, start, before = join(0), join(1), join(3).astype(np.int8), [join(3 + d) for d in range(1, depth + 1)]
         q, sizes = np.exp(-join(2).astype(np.float64) / STEPS), [len(a[0]) for a in asked]
         asked.clear()  # memory
-        state, found = np.zeros(len(word), np.int8), {d: [np.zeros(0, np.int64)] * 4 for d in range(2, depth + 1)}
+        state, found = np.zeros(len(word), np.int8), {d: [np.zeros(0, np.int64)] * 5 for d in range(2, depth + 1)}
         context = _numbered(before[0])[1].astype(np.int32)
         live = np.ones(len(word), bool)
         for d in range(2, depth + 1):
@@ -549,15 +563,19 @@ def _test_windows(depth: int):
             gain = gains(each, total[of], q[at][first], np.maximum(share[of], 1e-9)) * np.where(single, n, 1)
             gain = np.bincount(of[some], gain[some], len(total))
             kept = ((total >= CONTEXT) & (gain >= GAIN))[own]
-            own, at, each = own[kept], at[kept], each[pair[kept]]
+            own, at, each = own[kept].astype(np.int32), at[kept], each[pair[kept]]
             q[at] = np.maximum(each - DISCOUNT, 0) / total[own] + share[own] * q[at]
             state[at] = d
-            found[d] = [at, _narrow(each), _narrow(total[own]), _narrow(kinds[own])]
+            found[d] = [at, _narrow(each), own, _narrow(total), _narrow(kinds)]
         at = 0
         for block, size in zip(blocks, sizes, strict=True):
             own = at, at + size
             at = own[1]
-            parts = [_narrow(x[slice(*np.searchsorted(where, own))]) for where, *some in found.values() for x in some]
+            parts = []
+            for where, each, context_of, total, kinds in found.values():
+                here = slice(*np.searchsorted(where, own))
+                first = context_of[here][_changes(context_of[here])]  # once for windows of a context that stand together
+                parts += [_narrow(each[here]), _narrow(total[first]), _narrow(kinds[first])]
             yield block, bucket, _pack(state[own[0] : own[1]].astype("<u1"), *parts)
 
     return answer
@@ -607,7 +625,7 @@ def _hot(table: DataFrame) -> tuple[dict[int, int], bool]:
 
 def _at_blocks(blocks: DataFrame, answers: list[DataFrame], function, schema: str) -> DataFrame:
     """function over each block and the answers so far. Tables stored by block meet without being moved."""
-    together = blocks.filter("bucket = -1").select("block", "payload")
+    together = blocks.select("block", "payload")
     for i, a in enumerate(answers):
         together = together.join(a.select("block", F.col("parts").alias(f"a{i}")).hint("merge"), "block", "left")
     names = [f"a{i}" for i in range(len(answers))]
@@ -639,8 +657,12 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(-(-size // BUCKET) or 1)
     tasks = int(min(-(-size // BLOCK) or 1, 100_000))
-    blocks = _kept(_encode(plain, buckets), tasks, "lm-blocks", False)
-    words = _kept(_owned(blocks.filter("bucket >= 0"), buckets, _count_words(buckets)), tasks, "lm-words")
+    before = named()
+    encoded = stored(_encode(plain, buckets), "lm-encoded")
+    encoded_at = named()
+    blocks = _kept(encoded.filter("bucket = -1"), tasks, "lm-blocks", False)
+    words = _kept(_owned(encoded.filter("bucket >= 0"), buckets, _count_words(buckets)), tasks, "lm-words")
+    release(spark, before, encoded_at)
     forget_shuffles(spark)
     totals = _totals(words)
     answers, tables = [words], []
