@@ -45,7 +45,7 @@ BLOCK, BUCKET = 8 << 20, 16 << 20
 #: A context of more occurrences than this has no single owner.
 HOT = 1 << 20
 #: In the test the logarithm of the state below is rounded to so many steps a nat.
-STEPS = 8
+STEPS = 4
 #: Bytes a plane, on average, from which planes are compressed apart.
 APART = 1024
 #: Documents whose crc32 of the id's text has this remainder by 7 are held out.
@@ -111,6 +111,13 @@ def _changes(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs(word: np.ndarray, next_: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a representative of each case in which windows agree on the state below, number of each window's). Windows
+    that begin deeper have states of their own, and so has every window whose next word occurs once, where it doesn't matter."""
+    key = mixed(mixed(word.astype(np.uint64)) + next_.astype(np.uint64))
+    return _numbered(np.where(start > 2, np.arange(len(word), dtype=np.uint64), key))
+
+
 def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of a representative of each distinct key, in the keys' order; number of each key)."""
     order = np.argsort(key)
@@ -187,16 +194,15 @@ def _encode(docs: DataFrame, buckets: int) -> DataFrame:
             inside[ends] = False
             seq[inside] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
             held = np.array([held_out(i) for i in ids])
-            order = np.argsort(-np.bincount(seq, minlength=len(names)), kind="stable")  # numbers by falling frequency
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            seq = rank[seq]
+            order = np.argsort(-np.bincount(seq, minlength=len(names)), kind="stable")  # by falling frequency
             names = [names[i] for i in order]
-            counts = np.bincount(seq[np.repeat(~held, lens)], minlength=len(names))
-            bucket = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) % np.uint64(buckets)
-            yield block, -1, _pack(_bytes(json.dumps(ids).encode()), _narrow(lens), held.astype("<u1"), _narrow(seq), _narrow(bucket))
+            bucket = (np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            # a word's number in the block rises with its place in its bucket, and tells the bucket as its remainder
+            number, counts = np.empty(len(names), np.int64), np.bincount(seq[np.repeat(~held, lens)], minlength=len(names))[order]
+            number[order[by]] = (np.arange(len(by)) - edges[bucket[by]]) * buckets + bucket[by]
+            yield block, -1, _pack(_bytes(json.dumps(ids).encode()), _narrow(lens), held.astype("<u1"), _narrow(number[seq]))
             for r in range(buckets):
                 if len(at := by[edges[r] : edges[r + 1]]):
                     yield block, r, _pack(_bytes(b" ".join([names[i] for i in at])), _narrow(counts[at]))
@@ -292,17 +298,15 @@ class _Block:
     """
 
     def __init__(self, payload: bytes, answers: list[dict[int, bytes]], totals: tuple[int, int], tables: list[dict[int, int]], buckets: int, depth: int, hot: int) -> None:
-        ids, lens, held, seq, bucket = _unpack(payload)
+        ids, lens, held, seq = _unpack(payload)
         self.ids = json.loads(ids.tobytes())
         self.lens, self.held, self.local = lens.astype(np.int64), held.astype(bool), seq.astype(np.int32)
         self.n, self.v = totals
-        self.buckets, self.depth, self.hot, self.kinds = buckets, depth, hot, len(bucket)
-        count, self.number = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.uint64)
-        by = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        self.buckets, self.depth, self.hot, self.kinds = buckets, depth, hot, int(self.local.max()) + 1
+        count, self.number = np.zeros(self.kinds, np.int64), np.zeros(self.kinds, np.uint64)
         for r, part in answers[0].items():
-            at = by[edges[r] : edges[r + 1]]
-            count[at], self.number[at] = _unpack(part)
+            c, number = _unpack(part)
+            count[r : r + len(c) * buckets : buckets], self.number[r : r + len(c) * buckets : buckets] = c, number
         # from here on the block's numbers rise with those of all blocks, so what is sorted by one is sorted by the other
         order = np.argsort(self.number, kind="stable")
         rank = np.empty(len(order), np.int32)
@@ -437,28 +441,19 @@ class _Block:
         self.edges = np.searchsorted(owner[order], np.arange(self.buckets + 1, dtype=np.uint64))
 
     def window_requests(self) -> Iterator[tuple[int, bytes]]:
-        """For each owner, by the word before: it, how many windows and how many next words it has; the next words and the
-        state below them; for each window the place of its next word, training count, shortest context and the words further
-        before; and the state below those whose context is of two words or more."""
+        """For each owner: next word, training count, state below, shortest context, then the words before."""
         counts = np.bincount(self.of, self.train[self.at], len(self.first)).astype(np.int64)
         below = rounded(self.p[self.first])
         *before, next_, start = self.windows
         for r in range(self.buckets):
             s = slice(self.edges[r], self.edges[r + 1])
-            if s.start == s.stop:
-                continue
-            new = _changes(before[0][s])
-            run, at = np.cumsum(new) - 1, np.flatnonzero(new)
-            told, number = _numbered(run << 32 | next_[s])
-            pair_new = _changes(run[told])
-            pair_at = np.flatnonzero(pair_new)
-            plain, state = start[s] == 2, np.zeros(len(told), "<u2")
-            state[number[plain]] = below[s][plain]
-            first, second, *more = (self.everywhere[x[s]] for x in before) if len(before) > 1 else (self.everywhere[before[0][s]], np.zeros(0, np.uint64))
-            yield r, _pack(
-                _narrow(_steps(first[at], np.arange(len(at)) == 0)), _narrow(np.diff(at, append=len(new))), _narrow(np.diff(pair_at, append=len(told))), _narrow(_steps(self.everywhere[next_[s]][told], pair_new)), state,
-                _narrow(number - pair_at[run]), _narrow(counts[s]), start[s].astype("<u1"), _narrow(_steps(second, new) if len(second) else second), *map(_narrow, more), below[s][~plain],
-            )
+            if s.start < s.stop:
+                first, *more = (self.everywhere[x[s]] for x in before)
+                if more:
+                    more[0] = _steps(more[0], _changes(first))
+                after = self.everywhere[next_[s]]
+                told, _ = _pairs(first, after, start[s])
+                yield r, _pack(_narrow(after), _narrow(counts[s]), below[s][told], start[s].astype("<u1"), _narrow(_steps(first, np.arange(len(first)) == 0)), *map(_narrow, more))
 
     def finish(self, parts: dict[int, bytes]) -> None:
         state, a, b = np.zeros(len(self.first), np.int8), np.zeros(len(self.first)), np.ones(len(self.first))
@@ -528,30 +523,20 @@ def _count_pairs(d: int, most: int):
     return answer
 
 
-def _told(a: list[np.ndarray]) -> list[np.ndarray]:
-    """A request's windows: next word, training count, shortest context, state below, then the words before."""
-    first, sizes, pairs, next_, below, place, count, start, second, *more, deep = a
-    new = np.zeros(len(place), bool)
-    new[np.cumsum(sizes.astype(np.int64)) - sizes] = True
-    starts = np.cumsum(pairs.astype(np.int64)) - pairs
-    pair_new = np.zeros(len(next_), bool)
-    pair_new[starts] = True
-    at = place + np.repeat(starts, sizes)
-    first, state = np.repeat(_unstepped(first, np.arange(len(first)) == 0), sizes), below[at]
-    state[start > 2] = deep
-    return [_unstepped(next_, pair_new)[at], count, start, state, first, *([_unstepped(second, new)] if len(second) else []), *more]
-
-
 def _test_windows(depth: int):
     def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
         """Per block the state of each window (0: as it was), and for each depth up to it the next word's count, and once for
         windows of a context that stand together the context's count and how many next words it has."""
-        told = [_told(a) for a in asked]
+        for a in asked:
+            a[4] = _unstepped(a[4], np.arange(len(a[4])) == 0)
+            if depth > 1:
+                a[5] = _unstepped(a[5], _changes(a[4]))
+        join = lambda i: np.concatenate([a[i] for a in asked])
+        for a in asked:
+            a[2] = a[2][_pairs(a[4], a[0], a[3])[1]]
+        word, count, start, before = join(0), join(1), join(3).astype(np.int8), [join(3 + d) for d in range(1, depth + 1)]
+        q, sizes = np.exp(-join(2).astype(np.float64) / STEPS), [len(a[0]) for a in asked]
         asked.clear()  # memory
-        join = lambda i: np.concatenate([a[i] for a in told])
-        word, count, start, before = join(0), join(1), join(2).astype(np.int8), [join(3 + d) for d in range(1, depth + 1)]
-        q, sizes = np.exp(-join(3).astype(np.float64) / STEPS), [len(a[0]) for a in told]
-        told.clear()
         state, found = np.zeros(len(word), np.int8), {d: [np.zeros(0, np.int64)] * 5 for d in range(2, depth + 1)}
         context = _numbered(before[0])[1].astype(np.int32)
         live = np.ones(len(word), bool)
