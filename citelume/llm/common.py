@@ -6,7 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +86,20 @@ def batches(source: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
             yield batch.slice(start, rows)
 
 
+def sieved(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[bool]]]) -> DataFrame:
+    """The rows of docs whose text is kept, in the columns they came with, whatever their names. make() is called once in a
+    task; what it returns says for an array of texts which to keep."""
+    at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for b in batches(source):
+            yield b.filter(pa.array(keep(b.column(at)), pa.bool_()))
+
+    plain = docs.toDF(*names)  # a name with a dot can't be given to a function over batches
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """A string column's UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

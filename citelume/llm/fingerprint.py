@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, mixed
+from .common import batches, mixed, stored
 
 #: Components of a fingerprint: the likeness's standard error is at most 1 / (2 * sqrt(SAMPLES)), 0.0625.
 SAMPLES = 64
@@ -109,40 +110,33 @@ def _mixed32(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def in_order(docs: DataFrame, rows: int = 8192) -> DataFrame:
-    """doc_id, text, part and halo: rows dealt to parts that are ranges of descending doc_id, each sorted within its part.
+def hexed(signature: np.ndarray) -> str:
+    return signature.astype(">u2").tobytes().hex()
 
-    Each part also gets the first document of the next part, marked as halo (the last part gets the very first one). The
-    ranges come from doc_ids alone; a part's rows go to one task, about `rows` of them. The driver holds two numbers for
-    each part.
-    """
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
-    n = ids.count()
-    parts = max(1, -(-n // rows), min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)), reverse=True) if parts > 1 and n else []
-    cuts = [int(c) for c in cuts]
-    # part: how many cuts are above the id
-    part = F.lit(len(cuts)) - _above(F.col("id"), cuts[::-1])
-    tops = {r["part"]: r["top"] for r in ids.withColumn("part", part).groupBy("part").agg(F.max("id").alias("top")).collect()}
-    order = sorted(tops)
-    halo = {tops[p]: order[i - 1] for i, p in enumerate(order)}  # the first of a part goes to the one before, of the first to the last
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("part", part)
-    edges = docs.sparkSession.createDataFrame([(k, v) for k, v in halo.items()] or [(0, -1)], "id bigint, to int")
-    more = keyed.join(F.broadcast(edges), "id").withColumn("part", F.col("to")).drop("to")
-    every = keyed.withColumn("halo", F.lit(0)).unionByName(more.withColumn("halo", F.lit(1)))
-    return every.repartitionById(max(1, len(order)), F.col("part")).sortWithinPartitions(F.col("part"), "halo", F.col("id").desc(), "text")
-
-
-def _above(column: F.Column, cuts: list[int]) -> F.Column:
-    """How many of the ascending cuts are at most the column's value, by bisection."""
-    if not cuts:
-        return F.lit(0)
-    mid = len(cuts) // 2
-    return F.when(column >= F.lit(cuts[mid]), F.lit(mid + 1) + _above(column, cuts[mid + 1 :])).otherwise(_above(column, cuts[:mid]))
 
+def _rows(rows: list[tuple], after: str, sampler: Sampler, id_type: pa.DataType) -> dict[str, pa.Array]:
+    """The result of (doc_id, text) rows that follow each other, `after` the text that follows the last."""
+    texts = [r[1] for r in rows]
+    nexts = [*texts[1:], after]
+    edited = []
+    for t, n in zip(texts, nexts, strict=True):
+        cut = len(t) // 3
+        edited.append(t[: len(t) - cut] + n[:cut])
+    all_ = sampler.signatures([_weights(t) for t in (*texts, after, *edited)])
+    own, other = all_[: len(texts) + 1], all_[len(texts) + 1 :]
+    like = lambda a, b: float((a == b).mean())
+    return {
+        "doc_id": pa.array([r[0] for r in rows], id_type), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
+        "fingerprint": pa.array([hexed(s) for s in own[:-1]], pa.string()), "edited_fingerprint": pa.array([hexed(s) for s in other], pa.string()),
+        "near_edited": pa.array([like(a, b) for a, b in zip(own, other, strict=False)], pa.float64()),
+        "near_next": pa.array([like(a, b) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
+    }
 
-def hexed(signature: np.ndarray) -> str:
-    return signature.astype(">u2").tobytes().hex()
+
+#: About how many documents share a range of ids, at least as many ranges as there are shuffle partitions.
+RANGE = 65_536
+_RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def neighbours(docs: DataFrame, samples: int = SAMPLES, seed: int = 42) -> DataFrame:
@@ -150,58 +144,62 @@ def neighbours(docs: DataFrame, samples: int = SAMPLES, seed: int = 42) -> DataF
     fingerprint beside that of its edited text (the last third of its code points replaced by as many, or all there are,
     of the next document's) and of the next document, in descending doc_id; after the last comes the first.
 
-    Nulls: a null text is empty, with a fingerprint of zeros, alike to other empty texts; a null doc_id comes last.
-    Rows of equal doc_id follow each other by text. A single document is its own next. No documents give no rows; other
-    columns are ignored.
+    Texts move once, to ranges of ids. A range's task does all but its last document; that, and the first one's text, it
+    leaves in the stored result, and the few left are then joined to the range after theirs. doc_id may be of any type with
+    an order. Nulls: a null text is empty, with a fingerprint of zeros, alike to other empty texts; a null doc_id comes
+    last. Rows of equal doc_id follow each other by a hash of their text, equal ones as they come, so that many of them
+    spread over ranges. A single document is its own next. No documents give no rows; other columns are ignored.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // RANGE)
+    order = (F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("place"))
+    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place")).withColumn("h", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(samples, seed)
+        sampler, part = Sampler(samples, seed), TaskContext.get().partitionId()
         held: list[tuple] = []  # rows whose next isn't known, as they come
-        state: dict = {"part": None, "first": None}
+        size, id_type, begun = 0, pa.int64(), False
+
+        def edge(which: int, doc, text: str) -> pa.RecordBatch:
+            blank = pa.nulls(1, pa.string()), pa.nulls(1, pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array([doc], id_type), pa.nulls(1, pa.int64()), *blank[:1] * 3, *blank[1:] * 2, pa.array([part], pa.int32()), pa.array([which], pa.int32()), pa.array([text], pa.string())], names=names)
 
         def done(rows: list[tuple], after: str) -> pa.RecordBatch:
-            texts = [r[1] for r in rows]
-            nexts = [*texts[1:], after]
-            edited = []
-            for t, n in zip(texts, nexts, strict=True):
-                cut = len(t) // 3
-                edited.append(t[: len(t) - cut] + n[:cut])
-            all_ = sampler.signatures([_weights(t) for t in (*texts, after, *edited)])
-            own, other = all_[: len(texts) + 1], all_[len(texts) + 1 :]
-            like = lambda a, b: float((a == b).mean())
-            return pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([r[0] for r in rows], id_type), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-                "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
-                "fingerprint": [hexed(s) for s in own[:-1]], "edited_fingerprint": [hexed(s) for s in other],
-                "near_edited": pa.array([like(a, b) for a, b in zip(own, other, strict=False)], pa.float64()),
-                "near_next": pa.array([like(a, b) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
-            })
-
-        size = 0
-        id_type = pa.int64()
+            out, n = _rows(rows, after, sampler, id_type), len(rows)
+            return pa.RecordBatch.from_arrays([*out.values(), pa.array([part] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+
         for b in batches(source):
             id_type = b.schema.field("doc_id").type
-            for doc, text, part, halo in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "part", "halo")), strict=True):
-                if part != state["part"]:
-                    assert not held, "a part without its neighbour"
-                    state = {"part": part, "over": False}
-                if state["over"]:
-                    continue  # another row of the neighbour's id
-                if halo:
-                    if held:
-                        yield done(held, text)
-                    held, size, state["over"] = [], 0, True
-                    continue
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if not begun:
+                    yield edge(1, doc, text)
+                    begun = True
                 if size >= CHUNK_BYTES:
                     yield done(held, text)
                     held, size = [], 0
                 held.append((doc, text))
                 size += len(text)
-        assert not held, "a part without its neighbour"
+        if len(held) > 1:
+            yield done(held[:-1], held[-1][1])
+        if held:
+            yield edge(2, *held[-1])
+
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "edge", "text"]
+    every = stored(ranged.mapInArrow(run, f"doc_id {kind}, {_RESULT}, part int, edge int, text string"), "fingerprints")
+    firsts, lasts = every.filter("edge = 1").select("part", "text"), every.filter("edge = 2").select("part", "doc_id", "text")
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("part").select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(whole)).alias("next"))
+    pairs = lasts.join(after, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("after")), "next").select("doc_id", "text", "after")
+
+    def resolve(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(samples, seed)
+        for b in batches(source):
+            for i in range(b.num_rows):
+                doc, text, next_text = (b.column(c)[i].as_py() for c in ("doc_id", "text", "after"))
+                yield pa.RecordBatch.from_pydict(_rows([(doc, text)], next_text, sampler, b.schema.field("doc_id").type))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_order(docs).select("doc_id", "text", "part", "halo").mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return every.filter("edge = 0").select(names[:7]).unionByName(pairs.mapInArrow(resolve, f"doc_id {kind}, {_RESULT}"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -88,13 +88,15 @@ class FMIndex:
         self.marks, self.positions = Bits(kept), order[kept]
         self.top = top
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals [lo, hi) of the patterns (rows of equal length), by backward search."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        live = np.flatnonzero((patterns <= self.top).all(1))
-        hi[(patterns > self.top).any(1)] = 0
-        for column in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, column]
+    def search(self, words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row intervals [lo, hi) of the patterns words[start : start + length], by backward search."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        live = np.arange(len(starts))
+        for column in range(length - 1, -1, -1):
+            c = words[starts[live] + column].astype(np.int64)
+            here = c <= self.top
+            hi[live[~here]] = 0
+            live, c = live[here], c[here]
             a = self.first[c] + self.wavelet.rank(c, lo[live])
             b = self.first[c] + self.wavelet.rank(c, hi[live])
             lo[live], hi[live] = a, b

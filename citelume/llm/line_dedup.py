@@ -9,7 +9,8 @@ from .common import WORD, stored, text_of
 
 #: Bits of a filter that tells which hashes may recur: 16 MB at any input size. Where it fills up, more rows move for nothing.
 BITS = 1 << 27
-#: A boundary follows one line in MODULUS by its rolling hash; a line of more than LONG words is a chunk of its own.
+#: A line may end a chunk for one in MODULUS of its rolling hashes, unless the line before it may as well, so chunks have two lines
+#: or more; a line of more than LONG words is a chunk of its own.
 MODULUS, LONG = 3, 50
 
 
@@ -25,16 +26,23 @@ def _chunked(docs: DataFrame, modulus: int, long: int) -> DataFrame:
     # a line's hash: 32 bits of its MD5; the rolling hash joins it to the line before
     lined = lined.withColumn("h", F.expr("transform(lines, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint))"))
     lined = lined.withColumn("long", F.expr(rf"transform(lines, x -> length(x) > {long} and regexp_count(x, r'{WORD}') > {long})"))
-    ends = F.expr(f"""filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 or long[i] or long[i + 1]
-                      or (if(i > 0, h[i - 1], 0L) * 31 + h[i]) % {modulus} = 0)""")
+    lined = lined.withColumn("may", F.expr(f"transform(h, (x, i) -> (if(i > 0, h[i - 1], 0L) * 31 + x) % {modulus} = 0)"))
+    ends = F.expr("""filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 or long[i] or long[i + 1]
+                      or (may[i] and not (i > 0 and may[i - 1] and not long[i - 1])))""")
     lined = lined.withColumn("ends", ends)
     return lined.withColumn("chunks", F.expr("transform(ends, (e, i) -> struct(if(i > 0, ends[i - 1] + 1, 0) as start, e as end))"))
 
 
 def _pieces(chunked: DataFrame) -> DataFrame:
-    """(doc_id, key, start, h1, chunk) of the chunks that may be removed: of several lines, or one long line."""
-    each = chunked.select("doc_id", "key", "lines", F.posexplode(F.filter("chunks", lambda c: (c["end"] > c["start"]) | F.col("long")[c["start"]])).alias("_", "c"))
-    each = each.select("doc_id", "key", F.col("c.start").alias("start"), F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start") + 1), "\n").alias("chunk"))
+    """(doc_id, key, start, h1, chunk, before, after) of the chunks that may be removed: of several lines, or one long line;
+    with the lines of the chunks on both sides."""
+    text = "slice(lines, chunks[{0}].start + 1, chunks[{0}].end - chunks[{0}].start + 1)"
+    none = "filter(lines, x -> false)"
+    piece = f"""struct(c.start as start, array_join({text.format('i')}, '\n') as chunk,
+                       if(i > 0, {text.format('i - 1')}, {none}) as before, if(i + 1 < size(chunks), {text.format('i + 1')}, {none}) as after)"""
+    # texts are cut out before they are exploded, so that no row carries the whole document
+    some = F.expr(f"filter(transform(chunks, (c, i) -> if(c.end > c.start or long[c.start], {piece}, null)), p -> p is not null)")
+    each = chunked.select("doc_id", "key", F.explode(some).alias("p")).select("doc_id", "key", "p.*")
     return each.withColumn("h1", F.xxhash64("chunk"))
 
 
@@ -61,12 +69,15 @@ def _marked(df: DataFrame, hash_: str, bits: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, modulus: int = MODULUS, long: int = LONG) -> DataFrame:
     """docs with n_lines, n_removed (lines) and text without repeated chunks; n_lines and n_removed replace columns so named.
 
-    Lines end at \\n. Boundaries depend on a line and the one before (and on long lines), so equal passages are cut alike
-    wherever they stand; a chunk of several lines, or one line of more than `long` words, that stands elsewhere too is
-    removed but for its first place, by doc_id (null last), then text's hash, then line. Hashes only choose candidates:
-    chunks are equal if their bytes are. Other columns stay, whatever their names.
+    Lines end at \\n. Boundaries depend on a few lines before (and on long lines), so equal passages are cut alike wherever
+    they stand; a chunk of several lines, or one line of more than `long` words, that stands elsewhere too is removed but
+    for its first place, by doc_id (null last), then text's hash, then line. With it go the lines beside it, up to a
+    chunk's length on each side, that are equal beside the first place too: a repeated passage goes with its ends, which
+    stand in chunks with other lines. The first place of a repeated chunk stays whole. Hashes only choose candidates:
+    chunks and lines are equal if their bytes are. Other columns stay, whatever their names.
 
-    Hot chunks are met by partial aggregates and skew joins; texts move once, to be joined with what goes. Nulls: a null
+    A hot chunk's places meet in partial aggregates; those are stored, so that adaptive execution can split its rows in the
+    join (it does so above no aggregate); texts move once, to be joined with what goes. Nulls: a null
     text is empty (one empty line, nothing removed); a null doc_id keeps its row. Rows of equal doc_id and text count as
     one document and get the same result. No documents give no rows.
     """
@@ -78,18 +89,26 @@ def dedup_lines(docs: DataFrame, modulus: int = MODULUS, long: int = LONG) -> Da
     # of the chunks' texts, those that recur move
     again = _marked(pieces, "h1", _filter(spots, "h1")).filter("may").drop("may").join(spots, "h1", "left_semi")
     again = stored(again, "line-chunks")
-    first = again.groupBy("h1", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "chunk", "first")
-    gone = again.join(first, ["h1", "chunk"]).filter(place != F.col("first"))
-    gone = stored(gone.groupBy("key").agg(F.collect_set("start").alias("gone")), "line-gone")
+    first = again.groupBy("h1", "chunk").agg(F.min(F.struct(place.alias("place"), F.col("before").alias("before"), F.col("after").alias("after"))).alias("first"), F.max(place).alias("last"))
+    first = stored(first.filter("first.place <> last").select("h1", "chunk", "first"), "line-first")
+    gone = again.join(first, ["h1", "chunk"]).filter(place != F.col("first.place"))
+    alike = "aggregate(sequence(1, least(size({0}), size(first.{0}))), 0, (n, k) -> if(n = k - 1 and {1}, k, n))"
+    beside = lambda name, equal: F.when((F.size(name) > 0) & (F.size(f"first.{name}") > 0), F.expr(alike.format(name, equal))).otherwise(0)
+    gone = gone.select("key", "start", beside("before", "before[size(before) - k] = first.before[size(first.before) - k]").alias("ahead"), beside("after", "after[k - 1] = first.after[k - 1]").alias("behind"), F.lit(False).alias("stays"))
+    stays = first.select("first.place.key", "first.place.start", F.lit(0).alias("ahead"), F.lit(0).alias("behind"), F.lit(True).alias("stays"))
+    said = F.struct("start", "ahead", "behind")
+    gone = gone.unionByName(stays).groupBy("key").agg(F.collect_set(F.when(~F.col("stays"), said)).alias("gone"), F.collect_set(F.when(F.col("stays"), F.col("start"))).alias("stays"))
+    gone = stored(gone.filter("size(gone) > 0"), "line-gone")
     # of the documents, those that lose lines move
     keyed = _marked(plain.withColumn("key", _key()), "key", _filter(gone, "key"))
     whole = keyed.filter("not may").withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
     cut = _chunked(keyed.filter("may").join(gone, "key", "left"), modulus, long)
-    dropped = F.expr("filter(chunks, c -> gone is not null and array_contains(gone, c.start))")
-    cut = cut.withColumn("dropped", dropped).withColumn("n_lines", F.size("lines").cast("long"))
-    cut = cut.withColumn("n_removed", F.expr("aggregate(dropped, 0L, (n, c) -> n + c.end - c.start + 1)"))
-    rest = F.expr("""if(size(dropped) = 0, text, array_join(flatten(transform(filter(chunks, c -> not array_contains(gone, c.start)),
-                     c -> slice(lines, c.start + 1, c.end - c.start + 1))), '\n'))""")
+    # line numbers: of chunks that go, with the lines beside them, but for those of chunks that stay
+    whole_chunks = "flatten(transform(filter(chunks, c -> array_contains(stays, c.start)), c -> sequence(c.start, c.end)))"
+    beside = "flatten(transform(gone, g -> sequence(g.start - g.ahead, element_at(filter(ends, e -> e >= g.start), 1) + g.behind)))"
+    cut = cut.withColumn("dropped", F.expr(f"if(gone is null, array(), array_except({beside}, {whole_chunks}))")).withColumn("n_lines", F.size("lines").cast("long"))
+    cut = cut.withColumn("n_removed", F.size("dropped").cast("long"))
+    rest = F.expr("if(size(dropped) = 0, text, array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\n'))")
     names = [*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns], F.col("n_lines"), F.col("n_removed")]
     return whole.select(names).unionByName(cut.withColumn("text", rest).select(names))
 
@@ -104,11 +123,17 @@ SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, lines, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h,
              list_transform(lines, lambda x: len(regexp_extract_all(x, '{WORD}')) > {LONG}) AS long FROM d),
+m AS (SELECT *, list_transform(range(1, len(lines) + 1), lambda i: (CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END * 31 + h[i]) % {MODULUS} = 0) AS may FROM l),
 e AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR long[i] OR coalesce(long[i + 1], false)
-             OR (CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END * 31 + h[i]) % {MODULUS} = 0) AS ends FROM l),
+             OR (may[i] AND NOT (i > 1 AND coalesce(may[i - 1], false) AND NOT coalesce(long[i - 1], false)))) AS ends FROM m),
 c AS (SELECT doc_id, lines, long, unnest(list_transform(range(1, len(ends) + 1), lambda k: struct_pack(a := CASE WHEN k > 1 THEN ends[k - 1] + 1 ELSE 1 END, b := ends[k]))) AS c FROM e),
-t AS (SELECT doc_id, c.a AS a, c.b - c.a + 1 AS n, array_to_string(lines[c.a : c.b], chr(10)) AS chunk, c.b > c.a OR long[c.a] AS may FROM c),
-r AS (SELECT *, may AND row_number() OVER (PARTITION BY may, chunk ORDER BY doc_id, a) > 1 AS gone FROM t)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY a) FILTER (WHERE NOT gone), '')) AS text_sha256 FROM r GROUP BY doc_id
+t AS (SELECT doc_id, c.a AS a, c.b AS b, lines[c.a : c.b] AS own, array_to_string(lines[c.a : c.b], chr(10)) AS chunk, c.b > c.a OR long[c.a] AS may FROM c),
+n AS (SELECT *, coalesce(lag(own) OVER w, []) AS before, coalesce(lead(own) OVER w, []) AS after FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+r AS (SELECT *, row_number() OVER w AS o, count(*) OVER (PARTITION BY chunk) AS places, first_value(before) OVER w AS fb, first_value(after) OVER w AS fa FROM n WHERE may WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, a)),
+g AS (SELECT doc_id, a, b, len(list_filter(range(1, least(len(before), len(fb)) + 1), lambda k: before[len(before) - k + 1 :] = fb[len(fb) - k + 1 :])) AS ahead,
+             len(list_filter(range(1, least(len(after), len(fa)) + 1), lambda k: after[1 : k] = fa[1 : k])) AS behind FROM r WHERE o > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(a - ahead, b + behind + 1)) AS i FROM g EXCEPT SELECT doc_id, unnest(range(a, b + 1)) FROM r WHERE o = 1 AND places > 1),
+y AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d)
+SELECT y.doc_id, count(*) AS n_lines, count(x.i) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY y.i) FILTER (WHERE x.i IS NULL), '')) AS text_sha256
+FROM y LEFT JOIN x ON x.doc_id = y.doc_id AND x.i = y.i GROUP BY y.doc_id
 """

@@ -56,6 +56,12 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, epo
     which are replaced.
     """
     columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in columns]
+    return _taken(docs, columns, seed, weights, epochs, bins, size).select(*kept, "size", "source_size", "target", "copies")
+
+
+def _taken(docs: DataFrame, columns: list[str], seed: int, weights: tuple[int, ...], epochs: int, bins: int, size: F.Column | None) -> DataFrame:
+    """(_row, size, source_size, target, copies): the columns as a struct beside what the mix says of the document."""
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "source", (n_words() if size is None else size).cast("long").alias("size"))
     sized = sized.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sized = sized.withColumn("_bin", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * bins / 2**32).cast("int"))
@@ -80,8 +86,12 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, epo
     others = others.withColumn("more", F.when(F.col("_bin") < F.col("last_bin"), 1).otherwise(0))
     both = reduce(DataFrame.unionByName, (inside, others))
     more = F.when((F.col("more") == 1) & (F.col("want") > 0), 1).otherwise(0)
-    kept = [F.col(f"_row.`{c}`").alias(c) for c in columns]
-    return both.select(*kept, "size", "source_size", "target", (F.col("reps") + more).cast("long").alias("copies"))
+    return both.select("_row", "size", "source_size", "target", (F.col("reps") + more).cast("long").alias("copies"))
+
+
+def mixture(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, bins: int = BINS) -> DataFrame:
+    """docs as often as the mix takes them, in the columns they came with, whatever their names."""
+    return repeated(_taken(docs, docs.columns, seed, weights, epochs, bins, None).select("_row", "copies")).select("_row.*")
 
 
 def _small(plan: DataFrame, most: int = 100_000) -> DataFrame:

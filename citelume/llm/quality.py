@@ -6,27 +6,30 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import batches, raw, stored
+from .common import batches, raw, sieved, stored
 
-#: Most documents the scorer is fitted on: those with labels first, by a seeded hash of doc_id. The labellers' accuracies
-#: come from all documents.
-SAMPLE = 20_000
+#: Most documents that the scorer is fitted on, most of them with a label from annotators, and most bytes of their text; by a
+#: seeded hash of doc_id. The labellers' accuracies come from all documents.
+SAMPLE, ANNOTATED, SAMPLE_BYTES = 20_000, 15_000, 64 << 20
 #: Hashed features (a power of two).
 WIDTH = 1 << 20
 # fixed values: words of abuse, one labeller's list
 ABUSE = frozenset(w.encode() for w in "bastard clown disgusting dumb filth idiot imbecile loser moron pathetic scum stupid trash worthless".split())
 
 #: Labellers in order: what annotators said, then heuristics on the text. Votes: 1 keep, 2 reject, 0 none.
-LABELLERS = ("annotated", "repetition", "frequent_word", "symbols", "tables", "shouting", "word_length", "abuse", "function_words")
-#: How often annotators are taken to be right. Theirs isn't estimated: it says which of the two classes is which.
-ANNOTATORS = 0.999
+LABELLERS = ("annotated", "repetition", "frequent_word", "symbols", "tables", "shouting", "word_length", "abuse", "prose")
+#: What is thought of a labeller's accuracy beforehand (annotators', heuristics'), and as how many votes that counts.
+BEFOREHAND, AS_VOTES = (0.97, 0.9), 100.0
+#: A document without annotators' label counts in full from this posterior on, less the nearer its posterior is to a half.
+SURE = 0.99
 _STRIP = b".,;:!?()[]{}\"'`*#$%&@|<>^~_-+=/\\"
 _SYMBOLS = re.compile(rb"[#$%&*@^~<>{}\\|=+_]")
 
@@ -52,7 +55,7 @@ class Measures:
 
     def votes(self) -> list[int]:
         n = self.n
-        return [
+        against = [
             2 if n >= 8 and self.repeated > 0.2 else 0,
             2 if n >= 20 and self.top > 0.2 else 0,
             2 if n >= 4 and self.symbols > 0.3 else 0,
@@ -60,8 +63,8 @@ class Measures:
             2 if n >= 4 and self.shouted > 0.3 else 0,
             2 if n >= 4 and not 2 <= self.length <= 14 else 0,
             2 if self.abusive else 0,
-            1 if n >= 8 and self.short > 0.15 else 0,
         ]
+        return [*against, 1 if n >= 8 and self.short > 0.15 and not any(against) else 0]
 
     def features(self) -> np.ndarray:
         """Distinct hashed features: words, their first 4 and 5 bytes, and coarse levels of the measures."""
@@ -78,73 +81,68 @@ class Measures:
         return np.fromiter(found, np.int64, len(found)) & (WIDTH - 1)
 
 
-def accuracies(patterns: np.ndarray, counts: np.ndarray, annotators: float = ANNOTATORS, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of reject for each vote pattern, P(vote | class) as [labeller, class, vote], prior of reject), by
-    expectation-maximisation. A class is keep (0) or reject (1); the first labeller is the annotators, whose accuracy is
-    given, all others are estimated, starting from each pattern's own votes."""
+def accuracies(patterns: np.ndarray, counts: np.ndarray, beforehand: tuple[float, float] = BEFOREHAND, as_votes: float = AS_VOTES, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of reject for each vote pattern, accuracy of each labeller), by expectation-maximisation.
+
+    A labeller that votes is right with its accuracy, whatever the class; one that doesn't vote says nothing. The first one
+    is the annotators. All accuracies are estimated, theirs too: from where votes overlap, and from what is thought
+    beforehand, which counts as as_votes votes. Both classes are as likely beforehand.
+    """
     m = patterns.shape[1]
-    against, by = (patterns == 2).sum(1), (patterns == 1).sum(1)
-    post = (against * 2 + 0.2) / (against * 2 + by + 0.8)
-    table, prior = np.zeros((m, 2, 3)), 0.5
+    prior = np.array([beforehand[0], *[beforehand[1]] * (m - 1)])
+    right, side = prior.copy(), np.where(patterns == 2, 1.0, np.where(patterns == 1, -1.0, 0.0))
     for _ in range(rounds):
-        prior = float((post * counts).sum() / counts.sum())
-        for j in range(m):
-            for v in range(3):
-                at = patterns[:, j] == v
-                table[j, 1, v] = (post[at] * counts[at]).sum() + 1
-                table[j, 0, v] = ((1 - post[at]) * counts[at]).sum() + 1
-        table /= table.sum(2, keepdims=True)
-        table[0] = [[1, annotators, 1 - annotators], [1, 1 - annotators, annotators]]  # a missing label says nothing
-        logs = np.log(table)
-        odds = math.log(max(prior, 1e-9)) - math.log(max(1 - prior, 1e-9)) + sum(logs[j, 1, patterns[:, j]] - logs[j, 0, patterns[:, j]] for j in range(m))
-        new = 1 / (1 + np.exp(-odds))
-        if np.abs(new - post).max() < 1e-9:
+        post = 1 / (1 + np.exp(-(side @ np.log(right / (1 - right)))))
+        agreed = ((side > 0) * post[:, None] + (side < 0) * (1 - post[:, None])) * counts[:, None]
+        new = np.clip((agreed.sum(0) + as_votes * prior) / (((side != 0) * counts[:, None]).sum(0) + as_votes), 0.05, 0.999)
+        moved, right = np.abs(new - right).max(), new
+        if moved < 1e-9:
             break
-        post = new
-    return post, table, prior
+    return post, right
+
 
+def weight(posterior: np.ndarray, annotated: np.ndarray) -> np.ndarray:
+    """How much a document counts: in full if annotators judged it, else by how far the heuristics' evidence goes, steeply, so
+    that the many of which no labeller knows much don't drown what is known."""
+    p = np.clip(posterior, 1e-9, 1 - 1e-9)
+    return np.where(annotated, 1.0, np.minimum(1, np.abs(np.log(p / (1 - p))) / math.log(SURE / (1 - SURE))) ** 4)
 
-def fitted(rows: list[np.ndarray], targets: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 0.3, decay: float = 1e-5, least: float = 20.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer over hashed features, by Adagrad over shuffled batches.
+
+def fitted(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 0.3, decay: float = 1e-5, least: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, their weights, bias) of a logistic scorer over hashed features, by Adagrad over shuffled batches.
 
     Only features whose documents' targets differ from the rest's count: a likelihood ratio (G) of `least` or more."""
-    width, bias, gb = WIDTH, 0.0, 1.0
-    if rows:
-        docs, bad = float(len(rows)), float(targets.sum())
-        with_, with_bad = np.zeros(WIDTH, np.int64), np.zeros(WIDTH)
-        for at in range(0, len(rows), 256):  # a few rows at a time: the driver's memory is small
-            some = rows[at : at + 256]
-            columns = np.concatenate(some)
-            with_ += np.bincount(columns, minlength=WIDTH)
-            with_bad += np.bincount(columns, np.repeat(targets[at : at + 256], [len(r) for r in some]), WIDTH)
-        g2 = np.zeros(WIDTH)
-        for seen, all_ in ((with_bad, bad), (with_ - with_bad, docs - bad)):
-            for n, total in ((seen, with_), (all_ - seen, docs - with_)):
-                expected = np.maximum(total * all_ / docs, 1e-12)
-                g2 += 2 * n * np.log(np.maximum(n, 1e-12) / expected)
-        rows = [r[g2[r] >= least] for r in rows]
-    known, dense = np.unique(np.concatenate(rows), return_inverse=True) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    w, g = np.zeros(len(known)), np.ones(len(known)) * 1e-2
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0), 0.0
+    columns, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    docs, bad = weights.sum(), (weights * targets).sum()
+    with_, with_bad = np.bincount(columns, weights[owner], WIDTH), np.bincount(columns, (weights * targets)[owner], WIDTH)
+    g2 = np.zeros(WIDTH)
+    for seen, all_ in ((with_bad, bad), (with_ - with_bad, docs - bad)):
+        for n, total in ((seen, with_), (all_ - seen, docs - with_)):
+            expected = np.maximum(total * all_ / docs, 1e-12)
+            g2 += 2 * n * np.log(np.maximum(n, 1e-12) / expected)
+    told = g2[columns] >= least
+    known, dense = np.unique(columns[told], return_inverse=True)
+    starts = np.searchsorted(owner[told], np.arange(len(rows) + 1))
+    w, g, bias, gb = np.zeros(len(known)), np.ones(len(known)) * 1e-2, 0.0, 1.0
     order = np.random.default_rng(7)
-    for _ in range(epochs if rows else 0):
+    for _ in range(epochs):
         turn = order.permutation(len(rows))
         for at in range(0, len(turn), batch):
             some = turn[at : at + batch]
             cols = np.concatenate([dense[starts[i] : starts[i + 1]] for i in some])
-            owner = np.repeat(np.arange(len(some)), starts[some + 1] - starts[some])
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[cols], len(some)) + bias, -30, 30)))
-            err = (p - targets[some])
-            grad = np.bincount(cols, err[owner], len(known)) / len(some)
+            mine = np.repeat(np.arange(len(some)), starts[some + 1] - starts[some])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(mine, w[cols], len(some)) + bias, -30, 30)))
+            err = (p - targets[some]) * weights[some]
+            grad = np.bincount(cols, err[mine], len(known)) / len(some)
             touched = np.flatnonzero(grad)
             grad = grad[touched] + decay * w[touched]
             g[touched] += grad**2
             w[touched] -= rate * grad / np.sqrt(g[touched])
             gb += err.mean() ** 2
             bias -= rate * err.mean() / math.sqrt(gb)
-    out = np.zeros(width, np.float32)
-    out[known] = w
-    return out, bias
+    return known, w, float(bias)
 
 
 def _annotated(labels: DataFrame | None, docs: DataFrame) -> DataFrame:
@@ -155,42 +153,63 @@ def _annotated(labels: DataFrame | None, docs: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max(mark).alias("mark"))
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict]:
-    """(weights, bias, what the labellers were found to be): the weak-label model over all documents, the scorer on a sample."""
-    spark = docs.sparkSession
+def _sample(voted: DataFrame, found: list, posterior: dict[str, float], sample: int, most_bytes: int) -> DataFrame:
+    """(id, target, weight) of the documents to fit on: a bounded table."""
+    spark = voted.sparkSession
+    annotated = F.substring("votes", 1, 1) != "0"
+    first = min(sample * ANNOTATED // SAMPLE, sum(r["count"] for r in found if r["votes"][0] != "0"))
+    order = (F.xxhash64("id", F.lit(42)), F.col("id"))
+    known = voted.filter("id is not null").groupBy("id").agg(F.max(F.struct("votes", "n_bytes")).alias("v")).select("id", "v.votes", "v.n_bytes")
+    some = known.filter(annotated).orderBy(*order).limit(first).unionByName(known.filter(~annotated).orderBy(*order).limit(sample - first))
+    some = some.withColumn("before", F.sum("n_bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("before") <= most_bytes)
+    patterns = spark.createDataFrame([(k, float(p), float(weight(p, k[0] != "0"))) for k, p in posterior.items()], "votes string, target double, weight double")
+    return stored(some.join(F.broadcast(patterns), "votes").select("id", "target", "weight"), "quality-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float, dict]:
+    """(weights, bias, what the labellers were found to be): the weak-label model over all documents, the scorer on a sample.
+
+    The driver sees a row for each pattern of votes and the scorer's weights. The sample's features are made where its
+    texts are and go to one task, whose memory most_bytes bounds.
+    """
 
     def vote(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(source):
-            votes = ["".join(map(str, Measures(t).votes())) for t in raw(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(votes, pa.string())], names=["id", "votes"])
+            texts = raw(b.column("text"))
+            votes = ["".join(map(str, Measures(t).votes())) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(votes, pa.string()), pa.array([len(t or b"") for t in texts], pa.int64())], names=["id", "votes", "n_bytes"])
 
     plain = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    votes = plain.mapInArrow(vote, "id string, votes string")
+    votes = plain.mapInArrow(vote, "id string, votes string, n_bytes bigint")
     marks = _annotated(labels, docs)
-    voted = stored(votes.join(marks, "id", "left").select("id", F.concat(F.coalesce("mark", F.lit(0)).cast("string"), "votes").alias("votes")), "quality-votes")
-    found = voted.groupBy("votes").count().collect()  # a row for each pattern of three votes: 3 ** 9 at most
+    voted = stored(votes.join(marks, "id", "left").select("id", "n_bytes", F.concat(F.coalesce("mark", F.lit(0)).cast("string"), "votes").alias("votes")), "quality-votes")
+    found = voted.groupBy("votes").count().orderBy("votes").collect()  # a row for each pattern of three votes: 3 ** 9 at most
     if not found:
         return np.zeros(WIDTH, np.float32), 0.0, {}
-    patterns = np.array([[int(c) for c in r["votes"]] for r in found])
-    post, table, prior = accuracies(patterns, np.array([r["count"] for r in found], float))
-    posterior = {r["votes"]: float(p) for r, p in zip(found, post, strict=True)}
-    labelled = F.when(F.substring("votes", 1, 1) != "0", 0).otherwise(1)
-    chosen = voted.filter("id is not null").orderBy(labelled, F.xxhash64("id", F.lit(42)), "id").limit(sample).collect()
-    if any(r["votes"][0] != "0" for r in chosen):
-        chosen = [r for r in chosen if r["votes"][0] != "0"]
-    wanted = spark.sparkContext.broadcast({r["id"]: posterior[r["votes"]] for r in chosen})
+    post, right = accuracies(np.array([[int(c) for c in r["votes"]] for r in found]), np.array([r["count"] for r in found], float))
+    chosen = _sample(voted, found, {r["votes"]: float(p) for r, p in zip(found, post, strict=True)}, sample, most_bytes)
 
     def featured(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = wanted.value
         for b in batches(source):
-            ids = b.column("id").to_pylist()
-            some = [(i, t) for i, t in zip(ids, raw(b.column("text")), strict=True) if i in target]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in some], pa.string()), "features": pa.array([np.sort(Measures(t).features()).astype("<i4").tobytes() for _, t in some], pa.binary())})
+            rows = [np.sort(Measures(t).features()).astype("<i4").tobytes() for t in raw(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("target"), b.column("weight"), pa.array(rows, pa.binary())], names=["id", "target", "weight", "features"])
+
+    def train(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({(i, t, w, f) for b in source for i, t, w, f in zip(*(b.column(c).to_pylist() for c in ("id", "target", "weight", "features")), strict=True)})
+        heft = np.array([w for _, _, w, _ in rows])
+        known, w, bias = fitted([np.frombuffer(f, "<i4") for *_, f in rows], np.array([t for _, t, _, _ in rows]), heft / max(heft.max(initial=0), 1e-9))  # what is known best counts in full
+        yield pa.RecordBatch.from_pydict({"known": [known.astype("<i4").tobytes()], "w": [w.astype("<f4").tobytes()], "bias": [bias], "n": [len(rows)]})
 
-    found_rows = plain.mapInArrow(featured, "id string, features binary").filter("features is not null").toLocalIterator(prefetchPartitions=True)
-    rows = sorted({(r["id"], bytes(r["features"])) for r in found_rows})
-    weights, bias = fitted([np.frombuffer(f, "<i4") for _, f in rows], np.array([wanted.value[i] for i, _ in rows]))
-    return weights, bias, {"prior": prior, "accuracies": {n: table[j].tolist() for j, n in enumerate(LABELLERS)}, "patterns": len(found), "sample": len(rows)}
+    # at most `sample` narrow rows, proven by the limits
+    rows = stored(plain.join(F.broadcast(chosen), "id").mapInArrow(featured, "id string, target double, weight double, features binary"), "quality-features")
+    got = rows.repartition(1).mapInArrow(train, "known binary, w binary, bias double, n bigint").first()
+    weights = np.zeros(WIDTH, np.float32)
+    weights[np.frombuffer(bytes(got["known"]), "<i4")] = np.frombuffer(bytes(got["w"]), "<f4")
+    return weights, got["bias"], {"accuracies": dict(zip(LABELLERS, right.tolist(), strict=True)), "patterns": len(found), "sample": got["n"]}
+
+
+def _probability(m: Measures, weights: np.ndarray, bias: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[m.features()].sum()) + bias)))) if m.n else 1.0
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
@@ -205,23 +224,35 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
             for text in raw(b.column("text")):
                 m = Measures(text)
                 n.append(m.n)
-                p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[m.features()].sum()) + b0)))) if m.n else 1.0)
+                p.append(_probability(m, w, b0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(p, pa.float64()), pa.array([x <= 0.5 for x in p], pa.bool_())], names=[*b.schema.names, "n_words", "p_reject", "keep"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{kept}, n_words bigint, p_reject double, keep boolean")
+    more = [StructField("n_words", LongType()), StructField("p_reject", DoubleType()), StructField("keep", BooleanType())]
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *more]))
+
+
+def kept(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """The documents that classify() keeps, in the columns they came with, whatever their names."""
+    weights, bias, _ = fit(docs, labels, sample)
+    sent = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def make() -> Callable[[pa.Array], list[bool]]:
+        w, b0 = sent.value
+        return lambda texts: [_probability(Measures(t), w, b0) <= 0.5 for t in raw(texts)]
+
+    return sieved(docs, make)
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """docs with n_words, p_reject (the scorer's probability that the document is junk or toxic) and keep (p_reject <= 0.5).
 
-    Overlapping labellers vote on every document: annotators' labels where there are any, and heuristics. Their votes'
-    probabilities in kept and rejected documents are estimated together by expectation-maximisation over the counts of all
-    vote patterns; the posterior labels of a bounded sample train a logistic scorer on hashed words, word starts and
-    levels of the heuristics, which judges every whole text.
+    Overlapping labellers vote on every document: annotators where there is a label, and heuristics. The accuracies of all
+    of them are estimated together by expectation-maximisation over the counts of all vote patterns, so heuristics that
+    agree outvote a wrong label. The posterior labels of a bounded sample, documents with and without annotators' labels,
+    train a logistic scorer on hashed words, word starts and levels of the heuristics, which judges every whole text.
 
     Nulls: a null text is empty; empty texts are not kept; a null doc_id is judged and never sampled. Null labels are no
-    votes. Without labels the sample is of any documents. Repeated rows are judged alike. No documents give no rows.
+    votes. Without labels the heuristics alone are the labellers. Repeated rows are judged alike. No documents give no rows.
     """
     weights, bias, _ = fit(docs, labels, sample)
     return scored(docs, weights, bias)

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op9_source_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op6_decontamination": decontamination.SQL, "op9_source_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL}

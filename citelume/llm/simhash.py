@@ -160,10 +160,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, segments:
     signed = stored(fingerprints(docs, shingle, second), "simhash").withColumn("id", F.xxhash64("fp", "second") if second else F.col("fp"))
     nodes = stored(signed.groupBy("id", "fp", "second").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     joined = stars(links(nodes.select("id", "fp", "second"), most, segments, second_most))
-    labelled = nodes.join(joined.withColumnRenamed("a", "id"), "id", "left").withColumn("label", F.coalesce("b", "id")).drop("b")
-    smallest = labelled.groupBy("label").agg(F.min("node").alias("component_id"))
-    components = labelled.join(smallest, "label").select("id", "component_id")
-    return signed.join(components, "id").select("doc_id", "fp", "component_id")
+    return signed.join(_smallest(nodes, joined), "id").select("doc_id", "fp", "component_id")
+
+
+def _smallest(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(id, component_id): the smallest node of each id's component. What is aggregated by label is stored, so that a hot
+    label's rows can be split when they are joined to it."""
+    labelled = stored(nodes.join(joined.withColumnRenamed("a", "id"), "id", "left").select("id", "node", F.coalesce("b", "id").alias("label")), "near-labels")
+    smallest = stored(labelled.groupBy("label").agg(F.min("node").alias("component_id")), "near-smallest")
+    return labelled.join(smallest, "label").select("id", "component_id")
 
 
 #: For whole pipelines: texts alike by ALIKE (num, den) in their sets of WORDS_IN-word shingles are near-duplicates. Candidates
@@ -229,7 +234,7 @@ def _verified(texts: DataFrame, members: DataFrame) -> DataFrame:
     """
     few = members.count() <= 500_000
     own = texts.join(F.broadcast(members) if few else members, "id").groupBy("id", "group").agg(F.first("text").alias("text"))
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    blocks = stored(members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "alike-blocks")
     dealt = own.join(blocks, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
@@ -274,14 +279,12 @@ def alike_documents(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(plain.mapInArrow(run, f"doc_id {kind}, id bigint, keys array<bigint>"), "alike")
     keyed = signed.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").select("key", "a")
+    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").select("key", "a"), "alike-keys")
     grouped = stars(keyed.join(shared, "key").select("a", F.col("id").alias("b")))
     members = grouped.select(F.col("a").alias("id"), F.col("b").alias("group")).unionByName(grouped.select(F.col("b").alias("id"), F.col("b").alias("group")).distinct())
     joined = stars(stored(_verified(plain.select("id", "text"), stored(members, "alike-members")), "alike-links"))
     nodes = signed.groupBy("id").agg(F.min("doc_id").alias("node"))
-    labelled = nodes.join(joined.withColumnRenamed("a", "id"), "id", "left").withColumn("label", F.coalesce("b", "id")).drop("b")
-    smallest = labelled.groupBy("label").agg(F.min("node").alias("component_id"))
-    return signed.select("doc_id", "id").join(labelled.join(smallest, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return signed.select("doc_id", "id").join(_smallest(nodes, joined), "id").select("doc_id", "component_id")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
@@ -294,10 +297,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     gone = stored(rest.filter("doc_id <> component_id or rows > 1"), "simhash-gone")
     kept = docs.join(gone.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
     again = gone.filter("doc_id = component_id and rows > 1").select("doc_id")
+    columns = [f"`{c}`" for c in docs.columns]
     if again.isEmpty():
-        return kept.select(docs.columns)
+        return kept.select(columns)
     one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").unionByName(one).select(columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

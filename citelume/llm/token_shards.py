@@ -50,11 +50,22 @@ def permuted(index: np.ndarray, n: int, key: int = KEY, rounds: int = 4) -> np.n
     return out.astype(np.int64)
 
 
-def encoder(vocabulary: str, pattern: str = PATTERN):
+def content(spark: SparkSession, vocabulary: str) -> bytes:
+    """The vocabulary's file, read by the driver: a local path, or any that Spark reads."""
+    if "://" not in vocabulary:
+        with open(vocabulary, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(vocabulary).first()["content"])
+
+
+def encoder(vocabulary: str | bytes, pattern: str = PATTERN):
+    """vocabulary: a local path, or the file's content."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if isinstance(vocabulary, str):
+        with open(vocabulary, "rb") as f:
+            vocabulary = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -62,7 +73,7 @@ class Encoder:
     """The encoder, by a pattern without the look-ahead where blanks never stand side by side: there the cuts are the same
     and the search is a third faster."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str | bytes) -> None:
         self.full, self.quick = encoder(vocabulary), encoder(vocabulary, PATTERN.replace(r"\s+(?!\S)|", ""))
         self.blanks = re.compile(r"\s\s")
 
@@ -86,7 +97,7 @@ def encoded(enc, text: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def _sequences(source: Iterator[pa.RecordBatch], vocabulary: str, length: int) -> Iterator[tuple[np.ndarray, list]]:
+def _sequences(source: Iterator[pa.RecordBatch], vocabulary: bytes, length: int) -> Iterator[tuple[np.ndarray, list]]:
     """(ids, doc_ids) of each packed sequence of a partition; the last may be shorter."""
     enc = Encoder(vocabulary)
     ids, docs, size = [], [], 0  # docs: (doc_id, its last token's place in what is held)
@@ -132,6 +143,7 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    words = spark.sparkContext.broadcast(content(spark, vocabulary))  # about a megabyte; executors need no file of their own
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = TaskContext.get().partitionId(), []
@@ -147,7 +159,7 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
                 id_type = b.schema.field("doc_id").type
                 yield b
 
-        for place, (ids, inside) in enumerate(_sequences(seen(source), vocabulary, length)):
+        for place, (ids, inside) in enumerate(_sequences(seen(source), words.value, length)):
             rows.append((place, len(ids), inside, hashlib.sha256(ids.astype("<u2").tobytes()).hexdigest()))
             if len(rows) >= 1024:
                 yield out()
@@ -183,7 +195,7 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
             slot = permuted(np.arange(place - len(held), place) + first, total, key)
             return pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot), pa.array(held, pa.binary())], names=["shard", "slot", "record"])
 
-        for ids, _ in _sequences(source, vocabulary, length):
+        for ids, _ in _sequences(source, words.value, length):
             filled = np.full(length + 1, END, "<u2")
             filled[0] = len(ids) % 65536
             filled[1 : len(ids) + 1] = ids
