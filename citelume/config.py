@@ -11,6 +11,7 @@ from typing import Any
 ENV_PREFIX = "CITELUME_"
 
 
+# fixed values: names and defaults that decide results
 @dataclass(frozen=True)
 class Settings:
     # chunks and retrieval sizes

@@ -48,6 +48,22 @@ def sentences(c: Column) -> Column:
     return let(parts, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(stripped(c))))
 
 
+_SENTENCE_END = rf"(?<=[.!?]){BLANK}+(?=[A-Z0-9])"
+
+
+def sentence_count(c: Column) -> Column:
+    """How many sentences() there are; they needn't be cut for that, as none is empty."""
+    return F.regexp_count(c, F.lit(_SENTENCE_END)) + 1
+
+
+def matchable_sentences(c: Column) -> Column:
+    """matchable() of each sentence, but for blanks at its ends: the text is made matchable as a whole, with a mark between
+    sentences."""
+    marked = F.regexp_replace(F.translate(c, "\x01", " "), _SENTENCE_END, "\x01")
+    plain = F.regexp_replace(F.lower(marked), rf"[^a-z0-9\-+\x01{BLANKS}]", " ")
+    return F.split(normalized(plain), "\x01", -1)
+
+
 def truncated(c: Column, limit: int = 240) -> Column:
     short = lambda n: F.concat(F.regexp_replace(F.substring(n, 1, limit - 3), f"{BLANK}+$", ""), F.lit("..."))
     return let(normalized(c), lambda n: F.when(F.length(n) > limit, short(n)).otherwise(n))

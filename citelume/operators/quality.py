@@ -24,13 +24,16 @@ def _share(n: Column, most: int) -> Column:
 
 def explanatory_ratio(text: Column, lexicon: Lexicon = SCIENTIFIC) -> Column:
     """The share of sentences with an explaining word."""
-    return T.let(T.sentences(text), lambda parts: F.size(F.filter(parts, lambda s: T.matchable(s).rlike(lexicon.explanatory))) / F.size(parts))
+    return T.let(T.matchable_sentences(text), lambda parts: F.size(F.filter(parts, lambda s: s.rlike(lexicon.explanatory))) / F.size(parts))
 
 
-def reference_score(text: Column, section: Column, ratio: Column, lexicon: Lexicon = SCIENTIFIC, detect: bool = True) -> Column:
-    """How much a chunk is a bibliography, 0 to 1. section: section and subsection, blank-joined; ratio: explanatory_ratio."""
+def reference_score(text: Column, section: Column, ratio: Column, lexicon: Lexicon = SCIENTIFIC, detect: bool = True, match: Column | None = None) -> Column:
+    """How much a chunk is a bibliography, 0 to 1. section: section and subsection, blank-joined; ratio: explanatory_ratio;
+    match: matchable text, if it is at hand."""
     if not detect:
         return F.lit(0.0)
+    if match is not None:
+        return _reference_score(text, match, section, ratio, lexicon)
     return T.let(T.matchable(text), lambda match: _reference_score(text, match, section, ratio, lexicon))
 
 
@@ -45,7 +48,7 @@ def _weighed(text: Column, section: Column, ratio: Column, doi: Column, et_al: C
         + F.lit(0.18) * _share(doi, 2)
         + F.lit(0.12) * _share(_count(F.lower(text), "https?://"), 2)
         + F.lit(0.16) * _share(et_al, 3)
-        + F.lit(0.1) * _share(_count(text, ";"), 6)
+        + F.lit(0.1) * _share(F.length(text) - F.length(F.replace(text, F.lit(";"), F.lit(""))), 6)
         + F.lit(0.12) * _share(_count(text, MARKER), 4)
         + F.lit(0.16) * _share(authors, 4)
         + F.lit(0.08) * _share(_count(text, YEAR), 6)
@@ -54,9 +57,10 @@ def _weighed(text: Column, section: Column, ratio: Column, doi: Column, et_al: C
     return T.let(score, lambda x: T.clamped(F.when((doi > 0) & ((et_al >= 2) | (authors >= 2)), F.greatest(x, F.lit(0.8))).otherwise(x)))
 
 
-def background_score(text: Column, lexicon: Lexicon = SCIENTIFIC) -> Column:
-    found = T.let(T.matchable(text), lambda match: sum((match.rlike(p).cast("int") for p in lexicon.background), F.lit(0)))
-    return T.clamped(found / F.size(T.sentences(text)) * 1.5)
+def background_score(text: Column, lexicon: Lexicon = SCIENTIFIC, match: Column | None = None) -> Column:
+    phrases = lambda m: sum((m.rlike(p).cast("int") for p in lexicon.background), F.lit(0))
+    found = T.let(T.matchable(text), phrases) if match is None else phrases(match)
+    return T.clamped(found / T.sentence_count(text) * 1.5)
 
 
 def paragraph_score(paragraph: Column, lexicon: Lexicon = SCIENTIFIC) -> Column:
@@ -102,7 +106,7 @@ def scored_chunks(chunks: DataFrame, settings: Settings | None = None, lexicon:
     cut = tail_trimmed(text, lexicon) if s.post_chunk_trim_reference_tails else F.struct(T.normalized(text).alias("text"), F.lit(False).alias("trimmed"))
     section = F.concat_ws(" ", F.col("section"), F.col("subsection"))
     out = chunks.withColumn("_cut", cut).withColumn("text", F.col("_cut.text")).withColumn("reference_tail_trimmed", F.col("_cut.trimmed")).drop("_cut")
-    out = out.withColumn("token_count", T.token_count(F.col("text"))).withColumn("_ratio", explanatory_ratio(F.col("text"), lexicon))
-    out = out.withColumn("reference_contamination_score", reference_score(F.col("text"), section, F.col("_ratio"), lexicon, s.reference_detection_enabled)).drop("_ratio")
-    out = out.withColumn("generic_background_score", background_score(F.col("text"), lexicon))
+    out = out.withColumn("token_count", T.token_count(F.col("text"))).withColumn("_match", T.matchable(F.col("text"))).withColumn("_ratio", explanatory_ratio(F.col("text"), lexicon))
+    out = out.withColumn("reference_contamination_score", reference_score(F.col("text"), section, F.col("_ratio"), lexicon, s.reference_detection_enabled, F.col("_match")))
+    out = out.withColumn("generic_background_score", background_score(F.col("text"), lexicon, F.col("_match"))).drop("_ratio", "_match")
     return out.withColumn("is_reference_heavy", F.col("reference_contamination_score") >= s.reference_exclusion_threshold)

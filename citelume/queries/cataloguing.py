@@ -15,8 +15,8 @@ def _documents(spark, d):
 
 
 def listed(spark, d):
-    """The list as it is shown: its first hundred."""
-    return catalog.listed(_documents(spark, d)).limit(100).select("doc_id", "year", "title")
+    """The whole list, in order."""
+    return catalog.listed(_documents(spark, d)).select("doc_id", "year", "title")
 
 
 def upserted(spark, d):
@@ -78,7 +78,7 @@ def _status(force: bool) -> str:
 
 _PGS = "CASE WHEN doc_id % 3 = 0 THEN 'p. ' || (doc_id % 9 + 1) ELSE 'pp. ' || (doc_id % 9 + 1) || '-' || (doc_id % 9 + 1 + doc_id % 3) END"
 SQL = {
-    "catalog_list": _D + " SELECT doc_id, year, title FROM d ORDER BY coalesce(year, 0) DESC, title LIMIT 100",
+    "catalog_list": _D + " SELECT doc_id, year, title FROM d ORDER BY coalesce(year, 0) DESC, title",
     "catalog_lookup": _D + " SELECT doc_id, source_file, checksum FROM d WHERE doc_id = '7'",
     "catalog_lookup_by_source": _D + " SELECT source_file, doc_id FROM d WHERE source_file IN ('file3', 'file5', 'nowhere')",
     "catalog_upsert": _D + " SELECT source_file, doc_id, CASE WHEN n % 3 = 0 THEN 'new' ELSE lang END AS lang FROM d WHERE n % 3 = 0 OR n % 5 <> 0",

@@ -81,7 +81,8 @@ QUERIES = {
     "front_title": lambda s, d: fronts(s, d).select("page_id", "title"),
     "front_year": lambda s, d: fronts(s, d).select("page_id", "year"),
     "front_venue": lambda s, d: fronts(s, d).select("page_id", "venue"),
-    "author_split": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(frontmatter.split_authors(F.substring(F.coalesce("text", F.lit("")), 1, 200)), "|").alias("authors")),
+    "front_authors": lambda s, d: fronts(s, d).select("page_id", F.array_join("authors", "|").alias("authors")),
+    "author_split": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(frontmatter.split_authors(F.coalesce("text", F.lit(""))), "|").alias("authors")),
     "citation_long": cited("author_year_pages"), "citation_author_year": cited("author_year"), "citation_title": cited("title_pages"),
 }
 _NUMBER = r"^(?:\d{1,4}|page[\t-\r\x1C-\x20]+\d{1,4}|[ivxlcdm]+)$"
@@ -149,13 +150,35 @@ o AS (SELECT doc_id, page_number, string_agg(para, chr(10) || chr(10) ORDER BY g
 SELECT k.doc_id, k.page_number, md5({S.norm("coalesce(body, '')")}) AS clean_md5 FROM k LEFT JOIN o ON k.doc_id = o.doc_id AND k.page_number = o.page_number""",
     "heading_flags": f"WITH {_BLOCKS} SELECT doc_id, page_number, pos, is_heading, level FROM z",
     "section_carry": f"WITH {_BLOCKS} SELECT doc_id, page_number, pos, section, subsection, CASE {_SECTIONS} ELSE cm END = 'references' AS excluded FROM z",
+    "chunk_pack": f"""WITH RECURSIVE {_BLOCKS},
+bb AS (SELECT doc_id, page_number, pos, section, subsection, text, {S.count('text', S.TOKEN)} AS n FROM z WHERE NOT is_heading AND CASE {_SECTIONS} ELSE cm END <> 'references' AND {S.strip('text')} <> ''),
+se AS (SELECT doc_id, page_number, pos, unnest(ss) AS s, unnest(range(len(ss))) + 1 AS k FROM (SELECT *, {S.sentences('text')} AS ss FROM bb WHERE n > {SMALL.chunk_size_tokens})),
+sn AS (SELECT *, {S.count('s', S.TOKEN)} AS n FROM se),
+sg(doc_id, page_number, pos, k, g, run) AS (SELECT doc_id, page_number, pos, k, 0, n FROM sn WHERE k = 1 UNION ALL
+  SELECT x.doc_id, x.page_number, x.pos, x.k, sg.g + CASE WHEN sg.run + x.n > {SMALL.chunk_size_tokens} THEN 1 ELSE 0 END, CASE WHEN sg.run + x.n > {SMALL.chunk_size_tokens} THEN x.n ELSE sg.run + x.n END
+  FROM sg JOIN sn x ON x.doc_id = sg.doc_id AND x.page_number = sg.page_number AND x.pos = sg.pos AND x.k = sg.k + 1),
+fr AS (SELECT doc_id, page_number, pos, 0 AS part, section, subsection, text FROM bb WHERE n <= {SMALL.chunk_size_tokens} UNION ALL
+  SELECT bb.doc_id, bb.page_number, bb.pos, g AS part, any_value(section), any_value(subsection), {S.strip("string_agg(s, ' ' ORDER BY sn.k)")}
+  FROM sg JOIN sn USING (doc_id, page_number, pos, k) JOIN bb USING (doc_id, page_number, pos) GROUP BY bb.doc_id, bb.page_number, bb.pos, g),
+fi AS (SELECT *, row_number() OVER w AS i, {S.count('text', S.TOKEN)} AS n, sum({S.count('text', S.TOKEN)}) OVER (PARTITION BY doc_id ORDER BY page_number, pos, part ROWS UNBOUNDED PRECEDING) AS total FROM fr WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, pos, part)),
+ta AS (SELECT a.doc_id, a.i, min(b.i) AS tail FROM fi a JOIN fi b ON a.doc_id = b.doc_id AND b.i <= a.i AND b.total > a.total - {SMALL.chunk_overlap_tokens} GROUP BY a.doc_id, a.i),
+pk(doc_id, i, a, cut) AS (SELECT doc_id, i, i, false FROM fi WHERE i = 1 UNION ALL
+  SELECT x.doc_id, x.i, CASE WHEN NOT c.same THEN x.i WHEN c.full THEN greatest(pk.a, ta.tail) ELSE pk.a END, c.full OR NOT c.same
+  FROM pk JOIN fi x ON x.doc_id = pk.doc_id AND x.i = pk.i + 1 JOIN fi l ON l.doc_id = pk.doc_id AND l.i = pk.i JOIN fi h ON h.doc_id = pk.doc_id AND h.i = pk.a JOIN ta ON ta.doc_id = pk.doc_id AND ta.i = pk.i,
+  LATERAL (SELECT l.section IS NOT DISTINCT FROM x.section AND l.subsection IS NOT DISTINCT FROM x.subsection AS same, l.total - h.total + h.n + x.n > {SMALL.chunk_size_tokens} AS full) c),
+en AS (SELECT p.doc_id, p.a, p.i, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.i) - 1 AS chunk FROM pk p LEFT JOIN pk q ON q.doc_id = p.doc_id AND q.i = p.i + 1 WHERE q.i IS NULL OR q.cut),
+ch AS (SELECT en.doc_id, chunk, min(page_number) AS start_page, max(page_number) AS end_page, min_by(section, fi.i) AS section, {S.strip("string_agg(text, chr(10) || chr(10) ORDER BY fi.i)")} AS text FROM en JOIN fi ON fi.doc_id = en.doc_id AND fi.i BETWEEN en.a AND en.i GROUP BY en.doc_id, chunk)
+SELECT doc_id, doc_id || ':' || lpad(CAST(chunk AS VARCHAR), 4, '0') AS chunk_id, start_page, end_page, CAST({S.count('text', S.TOKEN)} AS INT) AS token_count, coalesce(section, '') AS section, md5(text) AS text_md5 FROM ch""",
     "chunk_span": f"WITH {_BLOCKS} SELECT doc_id, min(page_number) AS first_page, max(page_number) AS last_page, true AS whole FROM z WHERE NOT is_heading AND CASE {_SECTIONS} ELSE cm END <> 'references' GROUP BY doc_id",
     "front_title": _FRONT + f""", s AS (SELECT page_id, stem, ls, list_filter(range(1, least(len(ls), 6) + 1), lambda i: starts_with(lower(ls[i]), 'abstract') OR {_authorlike('ls[i]')}) AS stops FROM f),
 c AS (SELECT *, list_filter(ls[1 : coalesce(list_min(stops) - 1, 6)], lambda x: length(x) BETWEEN 7 AND 199) AS good FROM s)
 SELECT page_id, CASE WHEN len(ls) = 0 THEN stem WHEN len(good) > 0 THEN {S.strip("array_to_string(good[1:2], ' ')")} ELSE ls[1] END AS title FROM c""",
     "front_year": _FRONT + "SELECT page_id, CAST(coalesce(nullif(regexp_extract(subject, '(?:19|20)\\d{2}'), ''), nullif(regexp_extract(array_to_string(ls[1:15], chr(10)), '(?:19|20)\\d{2}'), ''), nullif(regexp_extract(stem, '(?:19|20)\\d{2}'), '')) AS INT) AS year FROM f",
     "front_venue": _FRONT + f"SELECT page_id, coalesce(nullif(subject, ''), list_filter(ls[1:12], lambda x: {S.has_any('lower(x)', ('journal', 'conference', 'proceedings', 'transactions'))})[1]) AS venue FROM f",
-    "author_split": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(substr(coalesce(text, ''), 1, 200), ' and ', ','), ','), lambda x: {S.strip('x')}), lambda x: x <> ''), '|') AS authors FROM documents",
+    "front_authors": _FRONT + f""", h AS (SELECT page_id, ls[2:5] AS lead, list_filter(range(1, least(len(ls[2:5]), 4) + 1), lambda i: contains(lower(ls[2:5][i]), 'abstract')) AS stops FROM f),
+g AS (SELECT page_id, list_filter(lead[1 : coalesce(list_min(stops) - 1, 4)], lambda x: contains(x, ',') OR contains(lower(x), ' and '))[1] AS line FROM h)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(coalesce(line, ''), ' and ', ','), ','), lambda x: {S.strip('x')}), lambda x: x <> ''), '|') AS authors FROM g""",
+    "author_split": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(coalesce(text, ''), ' and ', ','), ','), lambda x: {S.strip('x')}), lambda x: x <> ''), '|') AS authors FROM documents",
     "citation_long": f"SELECT doc_id AS chunk_id, '[' || {_AUTHORS} || ', ' || {_YEAR} || ', ' || {_PGS} || ']' AS citation, '[' || {_AUTHORS} || ', ' || {_YEAR} || ']' AS short_citation FROM documents",
     "citation_author_year": f"SELECT doc_id AS chunk_id, '[' || {_AUTHORS} || ', ' || {_YEAR} || ']' AS citation, '[' || {_AUTHORS} || ', ' || {_YEAR} || ']' AS short_citation FROM documents",
     "citation_title": f"SELECT doc_id AS chunk_id, '[Paper ' || doc_id || ', ' || {_PGS} || ']' AS citation, '[Paper ' || doc_id || ', p. ' || (doc_id % 9 + 1) || ']' AS short_citation FROM documents",

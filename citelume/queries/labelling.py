@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..lexicon import SCIENTIFIC
 from ..lexicon import SYNTHETIC as L
 from ..operators import enrichment, quality
 from ..sources.tables import conversation_pages, raw_chunks, table
@@ -46,7 +47,26 @@ def mention_rows(spark, d):
     return scored(spark, d).select(F.col("chunk_id").alias("doc_id"), F.explode("parameter_mentions").alias("parameter", "texts")).select("doc_id", "parameter", F.array_join("texts", "|").alias("texts"))
 
 
+#: Phrases of the scientific lexicon, put before a document's own text by its number.
+PHRASES = tuple(dict.fromkeys(["Gas porosity", "hot cracking", "incomplete fusion", "edge groove", "bead humping", "spatter", "warping", "WAAM", "MIG welding", "TIG", "arc additive manufacturing", "welding current of 120 A", "arc voltage 21.5 V",
+    "wire-feed speed", "scan speed", "torch angle", "argon", "energy input", "pulse rate", "inter-layer temperature", "layer height", "stick-out", "deposition rate", "AA2024", "316L", "Ti-6Al-4V", "Inconel", "AZ91", "is defined as", "is due to", "leads to",
+    "was reduced", "results show", "we recommend", "a limitation", "future work"]))
+
+
+def scientific(spark, d):
+    """Labels by the scientific lexicon."""
+    listed = F.array(*map(F.lit, PHRASES))
+    at = lambda k, b: F.element_at(listed, (F.pmod(F.col("doc_id") * k + b, F.lit(len(PHRASES))) + 1).cast("int"))
+    text = F.concat_ws(" ", *[at(k, b) for k, b in ((1, 0), (5, 3), (7, 11), (11, 2))], F.coalesce("text", F.lit("")))
+    m = T.matchable(text)
+    x = table(spark, d, "documents").select("doc_id", m.alias("m"))
+    names = {"defects": SCIENTIFIC.patterns(SCIENTIFIC.defects), "processes": SCIENTIFIC.processes, "parameters": SCIENTIFIC.parameters, "materials": SCIENTIFIC.materials, "roles": SCIENTIFIC.roles}
+    x = x.select("doc_id", "m", *[enrichment.labels(F.col("m"), terms).alias(n) for n, terms in names.items()])
+    return x.select("doc_id", *[F.array_join(n, "|").alias(n) for n in names], enrichment.source_type(F.col("m"), F.col("roles"), SCIENTIFIC).alias("kind"))
+
+
 QUERIES = {
+    "scientific_labels": scientific,
     "reference_score": references,
     "background_score": lambda s, d: scored(s, d).select(F.col("chunk_id").alias("doc_id"), _r("generic_background_score").alias("score")),
     "explanatory_ratio": lambda s, d: _text(s, d).select("doc_id", _r(quality.explanatory_ratio(F.col("text"), L)).alias("ratio")),
@@ -92,7 +112,12 @@ _MENTIONS = " UNION ALL ".join(
     f"SELECT doc_id, {S.q(name)} AS parameter, array_to_string(list_sort(list_distinct({' || '.join(f'regexp_extract_all(m, {S.q(p)})' for p in patterns)})), '|') AS texts FROM m WHERE {S.found('m', S.either(patterns))}" for name, patterns in L.parameters
 )
 _W = "WITH " + CHUNKS
+_AT = lambda k, b: f"{S.names(PHRASES)}[(doc_id * {k} + {b}) % {len(PHRASES)} + 1]"
+_SCI = f"""x AS (SELECT doc_id, {S.match(" || ' ' || ".join([_AT(1, 0), _AT(5, 3), _AT(7, 11), _AT(11, 2), "coalesce(text, '')"]))} AS m FROM documents),
+y AS (SELECT *, {S.labels('m', SCIENTIFIC.defects)} AS defects, {S.labels('m', SCIENTIFIC.processes)} AS processes, {S.labels('m', SCIENTIFIC.parameters)} AS parameters, {S.labels('m', SCIENTIFIC.materials)} AS materials, {S.labels('m', SCIENTIFIC.roles)} AS roles FROM x)"""
 SQL = {
+    "scientific_labels": f"""WITH {_SCI} SELECT doc_id, {', '.join(f"array_to_string({n}, '|') AS {n}" for n in ("defects", "processes", "parameters", "materials", "roles"))},
+ CASE WHEN {S.found('m', SCIENTIFIC.experimental)} AND {S.found('m', SCIENTIFIC.review)} THEN 'mixed' WHEN {S.found('m', SCIENTIFIC.experimental)} OR list_contains(roles, 'result') THEN 'experimental' WHEN {S.found('m', SCIENTIFIC.review)} THEN 'review' ELSE 'unclear' END AS kind FROM y""",
     "reference_score": _W + "SELECT doc_id, round(ref, 6) AS score, heavy FROM chunk",
     "background_score": _W + "SELECT doc_id, round(bg, 6) AS score FROM chunk",
     "explanatory_ratio": f"WITH m AS (SELECT doc_id, {S.sentences(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS s FROM documents) SELECT doc_id, round({_RATIO}, 6) AS ratio FROM m",

@@ -71,5 +71,15 @@ def parsed(found: DataFrame, parsers: tuple[Parser, ...] = (pdf_with_pypdf, pdf_
     return out.withColumn("doc_id", T.stable_id(F.col("source_file"))).select([f.strip().split(" ")[0] for f in ("path", "source_file", "file_name", "stem", "doc_id", "checksum", "pages", "raw_metadata", "error")])
 
 
+def from_pages(pages: DataFrame) -> DataFrame:
+    """The rows of parsed() from pages (source_file, checksum, page_number, text): a row for each file. Files whose pages
+    differ in their checksum count by the greatest."""
+    name = F.regexp_extract("source_file", r"[^/]*$", 0)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("page_number").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))))
+    out = pages.groupBy("source_file").agg(F.max("checksum").alias("checksum"), listed.alias("pages"))
+    out = out.withColumns({"path": F.col("source_file"), "file_name": name, "stem": F.regexp_replace(name, r"\.[^.]*$", ""), "doc_id": T.stable_id(F.col("source_file")), "raw_metadata": F.create_map().cast("map<string,string>"), "error": F.lit(None).cast("string")})
+    return out.select([f.strip().split(" ")[0] for f in ("path", "source_file", "file_name", "stem", "doc_id", "checksum", "pages", "raw_metadata", "error")])
+
+
 def page_rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page_number", "p.text")

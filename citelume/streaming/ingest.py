@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..api import Engine
+
 PAGES = "source_file string, checksum string, page_number int, text string, arrived timestamp"
 
 
@@ -22,6 +24,18 @@ def ingest_stream(pages: DataFrame, checkpoint: str, upsert: Callable[[DataFrame
     return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
 
 
+def into(engine: Engine) -> Callable[[DataFrame, int], None]:
+    """What ingest_stream() needs to parse, chunk, label and store each micro-batch of pages in an engine's catalog. A file's
+    pages should arrive together; pages that arrive later replace those before. Files whose checksum is stored are
+    skipped, so a batch that is given again changes nothing."""
+
+    def upsert(pages: DataFrame, number: int) -> None:
+        if not pages.isEmpty():
+            engine.ingest_pages(pages)
+
+    return upsert
+
+
 def arrivals(pages: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(window, pages, files) of arrivals; later ones than the watermark don't count."""
     seen = pages.withWatermark("arrived", late).groupBy(F.window("arrived", window))

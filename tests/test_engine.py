@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from citelume.api import Engine
 from citelume.config import Settings, env_value, load_settings
@@ -73,6 +74,64 @@ def test_model_vectors(engine):
     assert e.reindex()["chunks"] >= 1
 
 
+def test_stored_vectors_are_searched(engine, spark, tmp_path):
+    e, folder = engine
+    (tmp_path / "in" / "other_2020.txt").write_text("Another Long Title\nAnna Smith, Paul Jones\nAbstract\nSpatter is due to the arc. Nothing else is told of it here.")
+    e.embed = lambda: lambda texts: [[float("spatter" in t.lower()), float("porosity" in t.lower()), 0.01] for t in texts]
+    e.ingest(folder, pattern="*.txt")
+    rows = e.query([Request(1, question="spatter"), Request(2, question="porosity")]).results.orderBy("query_id", "rank").collect()
+    first = {r.query_id: r for r in reversed(rows)}
+    assert "Spatter" in first[1].text and "orosity" in first[2].text
+    e.embed = lambda: lambda texts: [[1.0] for _ in texts]
+    with pytest.raises(Exception, match="length"):
+        e.query(Request(1, question="spatter")).results.collect()
+
+
+def test_model_reranks_and_stages_are_timed(engine, spark):
+    e, folder = engine
+    e.ingest(folder, pattern="*.txt")
+    asked = Request(1, question="how is porosity reduced", enable_rerank=True)
+    plain = [r.chunk_id for r in e.query(asked).results.orderBy("rank").collect()]
+    e.reranker = lambda: lambda pairs: [-float(len(t)) for _, t in pairs]
+    answer = e.query(asked, timed=True)
+    rows = answer.results.orderBy("rank").collect()
+    assert sorted(r.chunk_id for r in rows) == sorted(plain) and all(r.rerank_score is not None for r in rows)
+    assert set(answer.timings_ms) == {"dense_search_ms", "sparse_search_ms", "fusion_ms", "rerank_ms", "total_ms"}
+    with pytest.warns(UserWarning, match="doesn't load"):
+        assert Engine(spark, e.settings, embed=lambda: 1 / 0, reranker=lambda: 1 / 0).embed is None
+
+
+def test_upload_and_logs(engine):
+    import io
+
+    from citelume import logs
+
+    e, _ = engine
+    stream = io.StringIO()
+    logs.configure(stream=stream)
+    for _ in range(2):
+        assert [r.status for r in e.upload([("paper_2022.txt", PAPER.encode())]).collect()] == ["ingested"]
+    assert e.health()["documents"] == 2
+    for bad in ([], [("../x.txt", b"x")], [("", b"x")]):
+        with pytest.raises(ValueError):
+            e.upload(bad)
+    lines = [json.loads(line) for line in stream.getvalue().splitlines()]
+    assert [x["message"] for x in lines] == ["ingest", "ingest"] and lines[0]["ingested_files"] == 1 and lines[0]["level"] == "INFO"
+
+
+def test_upsert_touches_only_its_partitions(engine, spark):
+    e, _ = engine
+    e.upload([(f"paper_{i}.txt", PAPER.encode()) for i in range(6)])
+    before = e.catalog._current()
+    one = e.catalog.read("documents").orderBy("source_file").first()
+    pages = spark.createDataFrame([(one.source_file, "new", 1, "A Title of Some Length\nAbstract\nNew words on porosity.")], "source_file string, checksum string, page_number int, text string")
+    assert [r.status for r in e.ingest_pages(pages).collect()] == ["updated"]
+    after = e.catalog._current()
+    assert sum(before["documents"][k] != v for k, v in after["documents"].items()) == 1 == sum(before["chunks"][k] != v for k, v in after["chunks"].items())
+    assert e.health()["documents"] == 6 and e.catalog.read("documents").filter("checksum = 'new'").count() == 1
+    assert e.catalog.read("chunks").filter(F.col("source_file") == one.source_file).count() == 1
+
+
 def test_settings(tmp_path):
     assert [env_value(x) for x in ("true", "null", "a, b", "[1, 2]", "3", "0.5", "x")] == [True, None, ["a", "b"], [1, 2], 3, 0.5, "x"]
     (tmp_path / "s.json").write_text('{"top_k": 3, "section_boosts": {"results": 0.5}}')
@@ -83,12 +142,21 @@ def test_settings(tmp_path):
         load_settings(str(tmp_path / "s.json"), {})
 
 
-def test_streaming(spark, tmp_path):
-    from citelume.streaming.ingest import arrivals, ingest_stream, page_stream
-
-    rows = spark.createDataFrame([("a", "x", 1, "text", None), ("b", "y", 1, "more", None)], "source_file string, checksum string, page_number int, text string, arrived timestamp")
-    rows.write.parquet(str(tmp_path / "pages"))
-    seen = []
-    ingest_stream(page_stream(spark, str(tmp_path / "pages")), str(tmp_path / "cp"), lambda df, n: seen.extend(r.source_file for r in df.collect())).awaitTermination()
-    assert sorted(seen) == ["a", "b"]
-    assert arrivals(page_stream(spark, str(tmp_path / "pages"))).isStreaming
+def test_streaming(engine, spark, tmp_path):
+    from citelume.streaming.ingest import arrivals, ingest_stream, into, page_stream
+
+    e, _ = engine
+    schema = "source_file string, checksum string, page_number int, text string, arrived timestamp"
+    for k, name in enumerate(("a.txt", "b.txt")):
+        spark.createDataFrame([(name, "x", i + 1, t, None) for i, t in enumerate(PAPER.split("\f"))], schema).write.mode("append").parquet(str(tmp_path / "pages"))
+        ingest_stream(page_stream(spark, str(tmp_path / "pages")), str(tmp_path / "cp"), into(e)).awaitTermination()
+        assert e.health()["documents"] == k + 1
+    state = e.catalog._current()
+    ingest_stream(page_stream(spark, str(tmp_path / "pages")), str(tmp_path / "other"), into(e)).awaitTermination()  # all of it again
+    assert e.catalog._current()["documents"] == state["documents"] and e.health()["documents"] == 2
+    rows = [(f"{n}.txt", "x", 1, "t", f"2024-01-01 00:{m:02d}:00") for n, m in (("a", 1), ("a", 2), ("b", 3), ("c", 7), ("d", 50))]
+    frame = spark.createDataFrame(rows, "source_file string, checksum string, page_number int, text string, arrived string")
+    frame.selectExpr("source_file", "checksum", "page_number", "text", "cast(arrived as timestamp) arrived").write.parquet(str(tmp_path / "timed"))
+    out = arrivals(page_stream(spark, str(tmp_path / "timed"))).writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp3")).start()
+    out.awaitTermination()
+    assert {(r.window.start.minute, r.pages, r.files) for r in spark.table("arrived").collect()} == {(0, 3, 2), (5, 1, 1), (50, 1, 1)}

@@ -10,7 +10,7 @@ from citelume.functions import text as T
 from citelume.lexicon import SCIENTIFIC
 from citelume.config import Settings
 from citelume.operators import bm25, chunking, citations, cleaning, enrichment, evidence, frontmatter, fusion, quality, structure, vectors
-from citelume.plans import catalog, requests
+from citelume.plans import catalog, requests, retrieval
 from citelume.plans.requests import Filters, Request
 
 
@@ -144,14 +144,23 @@ def test_front_matter(spark):
     assert got == [("A Great Study", ["Alice Smith", "Bob Jones"], 2019, None), ("Given", [], None, None), ("a long lower title", [], 2015, "Writer")]
 
 
-def test_requests():
-    legacy = requests.parameters({"current_A": 5, "voltage": 3, "odd": 1})
-    assert legacy == {"current": 5, "voltage": 3, "odd": 1} == requests.parameters({"voltage_V": 9, "voltage": 3, "current": 5, "odd": 1})
-    assert requests.with_units(legacy) == {"current_A": 5, "voltage_V": 3, "odd": 1}
-    b = requests.build(Request(1, "Gas Porosity", "why?", {}))
-    assert b.mode == "combined" and b.defect_name == "porosity" and b.filters.defect_terms == ("porosity",) and len(b.intents) == 5
-    assert requests.build(Request(1, question="q")).intents == {"free_text": "q"}
-    assert requests.build(Request(1, "new thing", filters=Filters(materials=("zinc",)))).materials == ["zinc"]
+def test_requests(spark):
+    legacy = {"current_A": 5, "voltage": 3, "odd": 1}
+    batch = [
+        Request(1, process_parameters=legacy), Request(2, process_parameters={"voltage_V": 9, "odd": 1, "voltage": 3, "current": 5, "travel_speed": None}), Request(3, "Gas Porosity", "why?", {}),
+        Request(4, question=" q "), Request(5, "new thing", filters=Filters(materials=("zinc",))), Request(6, "Pores", "in TIG steel?", {"shielding_gas": "argon", "extra": {"layers": 4}}, query_expansion=False, top_k=3),
+        Request(7), Request(8, "", "", None), Request(9, defect_name="crack", filters=Filters(defect_terms=("pores",)), enable_rerank=True),
+    ]
+    got = {r.query_id: r for r in requests.frames(spark, batch)[0].collect()}
+    assert got[1].parameter_values == got[2].parameter_values == {"current_A": "5", "voltage_V": "3", "odd": "1"} and got[1].parameter_categories == ["current", "voltage", "odd"] == got[2].parameter_categories
+    assert got[3].mode == "combined" and got[3].defect_name == "porosity" and got[3].f_defects == ["porosity"] and len(got[3].intents) == 5 and got[3].expanded_terms[0] == "porosity" and len(got[3].expanded_terms) == 5
+    assert [tuple(i) for i in got[4].intents] == [("free_text", "q")] and got[4].summary == "Free-text literature retrieval query."
+    assert got[5].q_materials == ["zinc"] and got[5].defect_name == "new thing" and got[5].summary == "Defect-only retrieval for new thing."
+    six = got[6]
+    assert six.expanded_terms == ["porosity"] and six.parameter_categories == ["shielding_gas", "layers"] and six.fragments == ["shielding gas", "layers", "argon"] and six.q_process_types == ["gtaw"] and six.q_materials == ["steel"] and six.q_top_k == 3
+    assert dict(map(tuple, six.intents))["defect_mechanism"] == "porosity gtaw steel pore formation gas entrapment heat input shielding gas mechanism cause"
+    assert got[7].mode == got[8].mode == "defect_only" and got[7].summary == "Defect-only retrieval for unspecified defect." and got[7].defect_name is None and len(got[7].intents) == 4
+    assert got[9].f_defects == ["pores"] and got[9].rerank and got[9].q_top_k == 8 and got[9].lexical_query.endswith("quality control")
 
 
 def test_bm25_counts_all_chunks(spark):
@@ -163,6 +172,31 @@ def test_bm25_counts_all_chunks(spark):
     assert [r.score for r in only] == [got[1].score]
 
 
+def test_best_is_the_top_of_all_scores(spark, monkeypatch):
+    rng = random.Random(4)
+    words = "pores gas arc weld steel crack heat wire feed speed".split()
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.choices(words, k=rng.randrange(0, 12))) or None, [q for q in (1, 2, 7) if rng.random() < 0.6]) for i in range(200)], "chunk_id string, text string, passes array<bigint>")
+    queries = spark.createDataFrame([(1, "a", "gas pores pores"), (1, "b", "steel arc weld"), (2, "a", "none known"), (2, "c", ""), (7, "a", "heat wire feed")], "query_id bigint, intent string, text string")
+    allowed = chunks.select(F.explode("passes").alias("query_id"), "chunk_id")
+    for best, scores in ((lambda c, k: bm25.best(chunks, queries, k, c), lambda c: bm25.scores(chunks, queries, c)), (lambda c, k: vectors.hashed_best(chunks.drop("passes") if c is None else c, queries, k), lambda c: vectors.hashed_scores(chunks, queries, c))):
+        for among, some in ((None, None), (chunks, allowed)):
+            want = sorted(map(tuple, bm25.top(scores(some), 7).select("query_id", "intent", "chunk_id", "score", "rank").collect()))
+            assert sorted(map(tuple, best(among, 7).select("query_id", "intent", "chunk_id", "score", "rank").collect())) == want and len(want) > 20
+    monkeypatch.setattr(bm25, "SMALL", 1)
+    monkeypatch.setattr(bm25.few, "__defaults__", (1,))
+    monkeypatch.setattr(bm25.small, "__defaults__", (1,))
+    assert len(bm25.best(chunks, queries, 3, chunks).collect()) == len(bm25.top(bm25.scores(chunks, queries, allowed), 3).collect())
+    assert bm25.best(chunks.limit(0), queries, 3).count() == 0
+
+
+def test_filters_are_judged_in_the_row(spark):
+    chunks = spark.createDataFrame([("a", 2001, "s1", ["waam"], ["steel"], ["pores"], False, "x"), ("b", None, "s2", [], None, [], True, "y"), ("c", 2010, None, ["tig"], ["steel"], [], False, "z")], "chunk_id string, year int, source_file string, process_types array<string>, materials array<string>, defect_terms array<string>, is_reference_heavy boolean, text string")
+    batch = [Request(1), Request(2, question="q", filters=Filters(year_min=2001, year_max=2005)), Request(3, filters=Filters(source_files=("s2", "s1"))), Request(4, filters=Filters(materials=("steel",), process_types=("tig", "mig"))), Request(5, filters=Filters(defect_terms=("cracks",)))]
+    bundles = requests.frames(spark, batch)[0]
+    got = {(r.query_id, r.chunk_id) for r in retrieval.passing(chunks, bundles).collect()}
+    assert got == {(1, "a"), (1, "b"), (1, "c"), (2, "a"), (3, "a"), (3, "b"), (4, "c")}
+
+
 def test_rrf_and_min_max(spark):
     ranks = spark.createDataFrame([(1, 10, 1, 0.5), (1, 11, 2, 0.2)], "query_id int, chunk_id int, rank int, score double")
     got = {r.chunk_id: r for r in fusion.reciprocal_rank(ranks, ranks.filter("chunk_id = 11").withColumn("rank", F.lit(1)).withColumn("score", F.lit(7.0))).collect()}
