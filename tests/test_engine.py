@@ -119,6 +119,42 @@ def test_upload_and_logs(engine):
     assert [x["message"] for x in lines] == ["ingest", "ingest"] and lines[0]["ingested_files"] == 1 and lines[0]["level"] == "INFO"
 
 
+def test_http(engine):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from citelume.serving import server
+
+    e, folder = engine
+    served = server(e, port=0, suffix=".txt")
+    threading.Thread(target=served.serve_forever, daemon=True).start()
+
+    def call(path, body=None, kind="application/json"):
+        data = body if body is None or isinstance(body, bytes) else json.dumps(body).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{served.server_port}{path}", data, {"Content-Type": kind})) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as err:
+            return err.code, json.load(err)
+
+    try:
+        assert call("/ingest", {})[0] == call("/ingest", {"folder_path": folder + "/none"})[0] == call("/query", b"{")[0] == call("/query", {"what": 1})[0] == 400
+        assert call("/documents/none")[0] == call("/nowhere")[0] == 404
+        status, said = call("/ingest", {"folder_path": folder})
+        assert status == 200 and said["ingested_files"] == 1 and said["files"][0]["status"] == "ingested"
+        form = b"--x\r\nContent-Disposition: form-data; name=\"files\"; filename=\"more_2020.%s\"\r\n\r\n" + PAPER.encode() + b"\r\n--x\r\nContent-Disposition: form-data; name=\"force\"\r\n\r\ntrue\r\n--x--\r\n"
+        assert call("/ingest", form % b"pdf", "multipart/form-data; boundary=x")[0] == 400
+        assert call("/ingest", form % b"txt", "multipart/form-data; boundary=x")[1]["ingested_files"] == 1
+        documents = call("/documents")[1]
+        assert len(documents) == 2 == call("/health")[1]["documents"] and call("/documents/" + documents[0]["doc_id"])[1]["chunks"]
+        status, said = call("/retrieve-context", {"question": "how is porosity reduced", "top_k": 2, "filters": {"year_min": 2021}})
+        assert status == 200 and said["results"][0]["year"] == 2021 and said["context_text"].startswith("1. [Smith") and "total_ms" in said["timings_ms"] and said["evidence"]
+        assert call("/reindex", {})[1]["documents"] == 2
+    finally:
+        served.shutdown()
+
+
 def test_upsert_touches_only_its_partitions(engine, spark):
     e, _ = engine
     e.upload([(f"paper_{i}.txt", PAPER.encode()) for i in range(6)])
