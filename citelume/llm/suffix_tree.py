@@ -380,15 +380,16 @@ class _Block:
             next_[hot] = np.array([table.get(int(k), 0) for k in self.keys[hot][first]], np.int64)[of]
         own = n[self.pair_of]
         gram = np.full(len(self.local), 0 if d == 1 else -1, np.int64)
-        gram[self.at] = own // 2
+        once, own = own == 2, own - (own > 1)
+        gram[self.at] = own
         self.gram.append(gram)
         if d == 1:
             self.once = np.zeros(len(self.local), bool)  # the pair's one occurrence, which held-out text doesn't ask for
-            self.once[self.at] = own == 2
+            self.once[self.at] = once
         kinds = next_[self.pair_of]
         live = (kinds > 0) & (self.state[self.at] == d - 1)
         at, total, kinds = self.at[live], self.total[live], kinds[live]
-        self.p[at] = np.maximum(own[live] // 2 - DISCOUNT, 0) / total + DISCOUNT * kinds / total * self.p[at]
+        self.p[at] = np.maximum(own[live] - DISCOUNT, 0) / total + DISCOUNT * kinds / total * self.p[at]
         self.state[at] = d
 
     def window(self) -> None:
@@ -443,8 +444,8 @@ class _Block:
     def window_requests(self) -> Iterator[tuple[int, bytes]]:
         """For each owner: next word, training count, state below, shortest context, then the words before."""
         counts = np.bincount(self.of, self.train[self.at], len(self.first)).astype(np.int64)
-        below = rounded(self.p[self.first])
         *before, next_, start = self.windows
+        below = np.where(next_ == ONCE, 0, rounded(self.p[self.first])).astype("<u2")  # it doesn't matter there
         for r in range(self.buckets):
             s = slice(self.edges[r], self.edges[r + 1])
             if s.start < s.stop:
@@ -482,8 +483,8 @@ class _Block:
 
 def _count_pairs(d: int, most: int):
     def answer(bucket: int, blocks: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
-        """Per block twice the corpus-wide training count of each pair (and 1 if held-out text asks for it), and the number of
-        next words of each kept context; of hot contexts (of which this may be a part) sums, and what their test needs."""
+        """Per block the corpus-wide training count of each pair, in a code that tells single ones apart, and the number of next
+        words of each kept context; of hot contexts (of which this may be a part) sums, and what their test needs."""
         join = lambda i: np.concatenate([a[i] for a in asked])
         each_sizes, each_pairs = [a[1].astype(np.int64) for a in asked], [len(a[3]) for a in asked]
         sizes = np.concatenate(each_sizes)
@@ -513,7 +514,8 @@ def _count_pairs(d: int, most: int):
             more, each = hot[owner] & (n > 1), lambda mask: np.bincount(owner[mask], minlength=len(keys))[hot].astype("<u8")
             order = np.argsort(owner[more], kind="stable")
             yield -1 - bucket, bucket, _pack(keys[hot].astype("<u8"), total[hot].astype("<u8"), kinds[hot].astype("<u8"), each(n > most), each(more), _narrow(n[more][order]), q[more][order].astype("<u2"))
-        said, at = 2 * n + held, 0
+        # 1: occurs once, and held-out text asks for it as well; 2: occurs once; from there on the count and 1
+        said, at = n + (n > 1) + ((n == 1) & ~held), 0
         for block, own_sizes, pairs in zip(blocks, each_sizes, each_pairs, strict=True):
             own = slice(at, at + pairs)
             at = own.stop
