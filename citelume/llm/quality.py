@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import batches, raw, sieved, stored
+from .common import batches, give_back, raw, sieved, stored
 
 #: Most documents that the scorer is fitted on, most of them with a label from annotators, and most bytes of their text; by a
 #: seeded hash of doc_id. The labellers' accuracies come from all documents.
@@ -114,17 +114,21 @@ def fitted(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray, epo
     Only features whose documents' targets differ from the rest's count: a likelihood ratio (G) of `least` or more."""
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    columns, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     docs, bad = weights.sum(), (weights * targets).sum()
-    with_, with_bad = np.bincount(columns, weights[owner], WIDTH), np.bincount(columns, (weights * targets)[owner], WIDTH)
+    with_, with_bad = np.zeros(WIDTH), np.zeros(WIDTH)
+    for at in range(0, len(rows), 512):  # a few rows at a time: all together would be large
+        some = slice(at, at + 512)
+        columns, sizes = np.concatenate(rows[some]), [len(r) for r in rows[some]]
+        with_ += np.bincount(columns, np.repeat(weights[some], sizes), WIDTH)
+        with_bad += np.bincount(columns, np.repeat((weights * targets)[some], sizes), WIDTH)
     g2 = np.zeros(WIDTH)
     for seen, all_ in ((with_bad, bad), (with_ - with_bad, docs - bad)):
         for n, total in ((seen, with_), (all_ - seen, docs - with_)):
             expected = np.maximum(total * all_ / docs, 1e-12)
             g2 += 2 * n * np.log(np.maximum(n, 1e-12) / expected)
-    told = g2[columns] >= least
-    known, dense = np.unique(columns[told], return_inverse=True)
-    starts = np.searchsorted(owner[told], np.arange(len(rows) + 1))
+    told = [r[g2[r] >= least] for r in rows]
+    known, dense = np.unique(np.concatenate(told), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in told])])
     w, g, bias, gb = np.zeros(len(known)), np.ones(len(known)) * 1e-2, 0.0, 1.0
     order = np.random.default_rng(7)
     for _ in range(epochs):
@@ -199,6 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         heft = np.array([w for _, _, w, _ in rows])
         known, w, bias = fitted([np.frombuffer(f, "<i4") for *_, f in rows], np.array([t for _, t, _, _ in rows]), heft / max(heft.max(initial=0), 1e-9))  # what is known best counts in full
         yield pa.RecordBatch.from_pydict({"known": [known.astype("<i4").tobytes()], "w": [w.astype("<f4").tobytes()], "bias": [bias], "n": [len(rows)]})
+        del rows
+        give_back()
 
     # at most `sample` narrow rows, proven by the limits
     rows = stored(plain.join(F.broadcast(chosen), "id").mapInArrow(featured, "id string, target double, weight double, features binary"), "quality-features")

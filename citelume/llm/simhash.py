@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mixed, raw, stored
+from .common import batches, give_back, mixed, raw, stored
 from .graph import stars
 
 SEED = 42
@@ -145,6 +145,7 @@ def links(fps: DataFrame, most: int = 4, segments: int = 3, second_most: int = 6
             yield out(*_compare(*held[:, :whole], most, second_most))
             held = held[:, whole:]
         yield out(*_compare(*held, most, second_most))
+        give_back()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, forget_shuffles, mixed, named, release, scratch, stored
+from .common import batches, forget_shuffles, give_back, mixed, named, release, scratch, stored
 
 #: Longest context; least count of a context (one seen once has nothing to hold back); absolute discount; least gain in nats.
 DEPTH, CONTEXT, DISCOUNT, GAIN = 4, 2, 0.75, 5.0
@@ -240,6 +240,7 @@ def _owned(requests: DataFrame, buckets: int, answer) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(row for bucket, blocks, asked in _by_bucket(source) for row in answer(bucket, blocks, asked))
+        give_back()
 
     return requests.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block").mapInArrow(run, _ROWS)
 
@@ -637,7 +638,7 @@ def _at_blocks(blocks: DataFrame, answers: list[DataFrame], function, schema: st
                 made = function(row.column("block")[0].as_py(), row.column("payload")[0].as_py(), parts)
                 del parts
                 yield from _rows(made) if schema == _ROWS else made
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     return together.mapInArrow(run, schema)
 
