@@ -101,14 +101,15 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, beforehand: tuple[float
     return post, right
 
 
-def weight(posterior: np.ndarray, annotated: np.ndarray) -> np.ndarray:
-    """How much a document counts: in full if annotators judged it, else by how far the heuristics' evidence goes, steeply, so
-    that the many of which no labeller knows much don't drown what is known."""
+def weight(posterior: np.ndarray, annotated: np.ndarray, any_annotated: bool = True) -> np.ndarray:
+    """How much a document counts: in full if annotators judged it, else by how far the heuristics' evidence goes; steeply where
+    there are annotators, so that the many documents of which no labeller knows much don't drown what they say."""
     p = np.clip(posterior, 1e-9, 1 - 1e-9)
-    return np.where(annotated, 1.0, np.minimum(1, np.abs(np.log(p / (1 - p))) / math.log(SURE / (1 - SURE))) ** 4)
+    sure = np.minimum(1, np.abs(np.log(p / (1 - p))) / math.log(SURE / (1 - SURE)))
+    return np.where(annotated, 1.0, sure ** (8 if any_annotated else 1))
 
 
-def fitted(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 0.3, decay: float = 1e-5, least: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fitted(rows: list[np.ndarray], targets: np.ndarray, weights: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 0.3, decay: float = 1e-5, least: float = 15.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, their weights, bias) of a logistic scorer over hashed features, by Adagrad over shuffled batches.
 
     Only features whose documents' targets differ from the rest's count: a likelihood ratio (G) of `least` or more."""
@@ -166,7 +167,7 @@ def _sample(voted: DataFrame, found: list, posterior: dict[str, float], sample:
     known = voted.filter("id is not null").groupBy("id").agg(F.max(F.struct("votes", "n_bytes")).alias("v")).select("id", "v.votes", "v.n_bytes")
     some = known.filter(annotated).orderBy(*order).limit(first).unionByName(known.filter(~annotated).orderBy(*order).limit(sample - first))
     some = some.withColumn("before", F.sum("n_bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("before") <= most_bytes)
-    patterns = spark.createDataFrame([(k, float(p), float(weight(p, k[0] != "0"))) for k, p in posterior.items()], "votes string, target double, weight double")
+    patterns = spark.createDataFrame([(k, float(p), float(weight(p, k[0] != "0", first > 0))) for k, p in posterior.items()], "votes string, target double, weight double")
     return stored(some.join(F.broadcast(patterns), "votes").select("id", "target", "weight"), "quality-sample")
 
 
