@@ -28,9 +28,14 @@ def normalized(c: Column) -> Column:
     return stripped(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
+#: The inside of a class of all characters but a-z, digits, blanks, - and +, from U+0002 on. Java finds what is in a class like this
+#: ten times as fast as what isn't in the opposite one.
+_REST = r"\x02-\x08\x0E-\x1B!-*,./:-`{-\x84\x86-\x9F\x{A1}-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}"
+
+
 def matchable(c: Column) -> Column:
     """Lower case with nothing but a-z, digits, blanks, - and +."""
-    return normalized(F.regexp_replace(F.lower(c), rf"[^a-z0-9\-+{BLANKS}]", " "))
+    return normalized(F.regexp_replace(F.lower(c), rf"[\x00\x01{_REST}]", " "))
 
 
 def token_count(c: Column) -> Column:
@@ -60,8 +65,7 @@ def matchable_sentences(c: Column) -> Column:
     """matchable() of each sentence, but for blanks at its ends: the text is made matchable as a whole, with a mark between
     sentences."""
     marked = F.regexp_replace(F.translate(c, "\x01", " "), _SENTENCE_END, "\x01")
-    plain = F.regexp_replace(F.lower(marked), rf"[^a-z0-9\-+\x01{BLANKS}]", " ")
-    return F.split(normalized(plain), "\x01", -1)
+    return F.split(normalized(F.regexp_replace(F.lower(marked), rf"[\x00{_REST}]", " ")), "\x01", -1)
 
 
 def truncated(c: Column, limit: int = 240) -> Column:
