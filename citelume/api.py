@@ -17,7 +17,7 @@ from .config import Settings
 from .lexicon import SCIENTIFIC, Lexicon
 from .operators import enrichment, evidence, frontmatter, fusion, vectors
 from .plans import ingest, requests, retrieval
-from .plans.catalog import DOCUMENTS, Catalog, listed, with_vectors
+from .plans.catalog import DOCUMENTS, Catalog, by_id, digest, listed, with_vectors
 from .plans.requests import Request
 from .sources import pages as files
 
@@ -133,11 +133,10 @@ class Engine:
 
     def get_document(self, doc_id: str) -> tuple[Any, DataFrame]:
         """(document, its chunks in short). Raises KeyError if there is none."""
-        rows = self.catalog.read("documents").filter(F.col("doc_id") == doc_id).take(1)
+        rows = by_id(self.catalog.read("documents"), doc_id).take(1)
         if not rows:
             raise KeyError(doc_id)
-        digest = self.catalog.read("chunks").filter(F.col("doc_id") == doc_id).select("chunk_id", "section", "subsection", "start_page", "end_page", "token_count", "defect_terms", "process_parameters", "evidence_types", "is_reference_heavy")
-        return rows[0], digest.orderBy("chunk_id")
+        return rows[0], digest(self.catalog.read("chunks"), doc_id)
 
     def query(self, asked: Request | Iterable[Request], timed: bool = False) -> Answer:
         """One plan answers all requests; the frames run when they are read. timed: each stage is run and timed by itself, as

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import citations
+from ..lexicon import SYNTHETIC
+from ..operators import chunking, citations, structure
 from ..plans import catalog, ingest
-from ..sources.tables import raw_chunks, table
+from ..sources.tables import conversation_pages, raw_chunks, table
+from . import sql as S
+from .ingesting import SMALL
+from .ingesting import SQL as INGESTING
+from .labelling import CHUNKS, scored
+
+#: SQL of the chunks that the engine makes of the conversations.
+PACKED = INGESTING["chunk_pack"]
 
 
 def _documents(spark, d):
@@ -54,15 +62,22 @@ def json_rows(spark, d):
     return c.select("chunk_id", F.to_json(F.struct("chunk_id", "title", "year", "citation")).alias("body"))
 
 
+def digested(spark, d):
+    """All chunks of the documents of a source, which stand for a document's chunks."""
+    c = catalog.digest(scored(spark, d).withColumns({"doc_id": F.col("source_file"), "start_page": F.lit(1), "end_page": F.lit(1)}), "src3")
+    return c.select("chunk_id", "section", "token_count", F.array_join("defect_terms", ",").alias("defect_terms"), F.array_join("evidence_types", ",").alias("roles"), "is_reference_heavy")
+
+
 QUERIES = {
     "catalog_list": listed,
-    "catalog_lookup": lambda s, d: _documents(s, d).filter("doc_id = '7'").select("doc_id", "source_file", "checksum"),
-    "catalog_lookup_by_source": lambda s, d: _documents(s, d).join(F.broadcast(s.createDataFrame([("file3",), ("file5",), ("nowhere",)], "source_file string")), "source_file").select("source_file", "doc_id"),
+    "catalog_lookup": lambda s, d: catalog.by_id(_documents(s, d), "7").select("doc_id", "source_file", "checksum"),
+    "catalog_lookup_by_source": lambda s, d: catalog.by_source(_documents(s, d), s.createDataFrame([("file3",), ("file5",), ("nowhere",)], "source_file string")).select("source_file", "doc_id"),
+    "document_digest": digested,
     "catalog_upsert": upserted,
     "ingest_status": lambda s, d: _decided(s, d).select("source_file", "status"),
     "ingest_status_forced": lambda s, d: _decided(s, d, True).select("source_file", "status"),
     "ingest_rollup": rolled,
-    "health_counts": lambda s, d: table(s, d, "conversations").agg(F.countDistinct("conv_id").alias("documents"), F.count("*").alias("chunks")),
+    "health_counts": lambda s, d: catalog.counted(_documents(s, d), chunking.pack(structure.blocks(conversation_pages(s, d), SYNTHETIC, SMALL.paragraph_break), SMALL)),
     "schema_migration": migrated,
     "reembed_by_key": revectored,
     "json_response": json_rows,
@@ -85,7 +100,8 @@ SQL = {
     "ingest_status": _C + f" SELECT source_file, status FROM ({_status(False)})",
     "ingest_status_forced": _C + f" SELECT source_file, status FROM ({_status(True)})",
     "ingest_rollup": _C + f" SELECT count(*) AS processed_files, count(*) FILTER (WHERE status IN ('ingested', 'updated')) AS ingested_files, count(*) FILTER (WHERE status = 'skipped') AS skipped_files, CAST(sum(CASE WHEN status IN ('ingested', 'updated') THEN n % 4 ELSE 0 END) AS BIGINT) AS chunks_created FROM ({_status(False)})",
-    "health_counts": "SELECT count(DISTINCT conv_id) AS documents, count(*) AS chunks FROM conversations",
+    "health_counts": f"SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM ({PACKED})) AS chunks",
+    "document_digest": f"WITH {CHUNKS} SELECT doc_id AS chunk_id, section, CAST({S.count('text', S.TOKEN)} AS INT) AS token_count, array_to_string(defects, ',') AS defect_terms, array_to_string(roles, ',') AS roles, heavy AS is_reference_heavy FROM chunk WHERE source = 'src3'",
     "schema_migration": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS generic_background_score, 0.0::DOUBLE AS reference_contamination_score, false AS is_reference_heavy, true AS no_summary FROM documents",
     "reembed_by_key": "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(list_sum(embedding::DOUBLE[]), 6) END AS total FROM embeddings",
     "json_response": f"""SELECT doc_id AS chunk_id, '{{"chunk_id":' || doc_id || ',"title":"Paper ' || doc_id || '","year":' || (2000 + doc_id % 25) || ',"citation":"[' || CASE doc_id % 3 WHEN 0 THEN 'Smith et al.' WHEN 1 THEN 'Wu' ELSE 'Paper ' || doc_id END || ', ' || (2000 + doc_id % 25) || ', ' || {_PGS} || ']"}}' AS body FROM documents""",
