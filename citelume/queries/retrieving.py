@@ -61,10 +61,21 @@ def rrf(spark, d):
     return fused
 
 
+_HELD: list = []
+
+
+def _labelled(spark, d):
+    """Labelled chunks, kept for all uses in a plan until the next query's: an ingest would have stored them."""
+    for old in _HELD:
+        if old.sparkSession is spark:
+            old.unpersist()
+    _HELD[:] = [scored(spark, d).persist()]
+    return _HELD[0]
+
+
 def _answers(spark, d, batch=REQUESTS):
     bundles, intents = _batch(spark, batch)
-    # an ingest would have stored them; here they are labelled once for all uses in the plan
-    return retrieval.answered(scored(spark, d).persist(), bundles, intents, SETTINGS, L)
+    return retrieval.answered(_labelled(spark, d), bundles, intents, SETTINGS, L)
 
 
 def final(spark, d):
@@ -74,7 +85,7 @@ def final(spark, d):
 
 def features(spark, d):
     bundles, intents = _batch(spark)
-    chunks = scored(spark, d).persist()
+    chunks = _labelled(spark, d)
     full = chunks.select(*retrieval.CHUNK).join(F.broadcast(retrieval.candidates(chunks, bundles, intents, SETTINGS)), "chunk_id").join(F.broadcast(bundles), "query_id")
     return fusion.featured(full, SETTINGS, L).select("query_id", "chunk_id", *[F.round(f, 6).alias(f) for f in fusion.FEATURES])
 
