@@ -86,11 +86,12 @@ def batches(source: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
         rows = max(1, min(batch.num_rows, int(batch.num_rows * most_bytes / max(batch.nbytes, 1))))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
 def give_back() -> None:
-    """Returns freed memory to the system. Workers outlive their tasks, and would keep what the hungriest of them needed. Not
-    for tasks that many alike follow: to get the pages again takes time."""
+    """Returns freed memory to the system. Workers outlive their tasks, and would keep what the hungriest of them needed. Once
+    a task is enough: to get the pages again takes time."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where there is such a library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

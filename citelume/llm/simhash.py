@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mixed, raw, stored
+from .common import batches, give_back, mixed, raw, stored
 from .graph import stars
 
 SEED = 42
@@ -258,6 +258,8 @@ def _verified(texts: DataFrame, members: DataFrame) -> DataFrame:
                 sets.append(_shingles(text))
         if sets:
             yield out()
+        sets = []
+        give_back()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
