@@ -145,6 +145,8 @@ def links(fps: DataFrame, most: int = 4, segments: int = 3, second_most: int = 6
             yield out(*_compare(*held[:, :whole], most, second_most))
             held = held[:, whole:]
         yield out(*_compare(*held, most, second_most))
+        del held
+        give_back()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -172,7 +174,8 @@ def _smallest(nodes: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 #: For whole pipelines: texts alike by ALIKE (num, den) in their sets of WORDS_IN-word shingles are near-duplicates. Candidates
-#: share one of BANDS keys of ROWS minima each, as 99.7 % of pairs alike by 0.8 do by calculation, and more of those above.
+#: are near_duplicates' classes. For alike texts whose fingerprints lie further apart, also those that share one of BANDS keys of
+#: ROWS minima each, as 99.7 % of pairs alike by 0.8 do by calculation, and more of those above.
 ALIKE, WORDS_IN, BANDS, ROWS = (4, 5), 5, 32, 8
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -267,8 +270,9 @@ def _verified(texts: DataFrame, members: DataFrame) -> DataFrame:
 def alike_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): documents whose texts are alike by ALIKE, directly or through others, share the smallest doc_id.
 
-    Candidates are texts that share a band of MinHash keys; every link is confirmed by the exact likeness of the two sets of
-    shingles. Equal texts meet as one id. Nulls as in near_duplicates: a null text is one without words, and those are alike.
+    Candidates are the classes of near_duplicates, and texts that share a band of MinHash keys for what lies beyond its bits;
+    every link is confirmed by the exact likeness of the two sets of shingles. Equal texts meet as one id. Nulls as in
+    near_duplicates: a null text is one without words, and those are alike.
     """
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
 
@@ -282,7 +286,9 @@ def alike_documents(docs: DataFrame) -> DataFrame:
     signed = stored(plain.mapInArrow(run, f"doc_id {kind}, id bigint, keys array<bigint>"), "alike")
     keyed = signed.select("id", F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last").select("key", "a"), "alike-keys")
-    grouped = stars(keyed.join(shared, "key").select("a", F.col("id").alias("b")))
+    banded = keyed.join(shared, "key").select("a", F.col("id").alias("b"))
+    classes = near_duplicates(plain.select(F.col("id").alias("doc_id"), "text"))
+    grouped = stars(classes.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).unionByName(banded))
     members = grouped.select(F.col("a").alias("id"), F.col("b").alias("group")).unionByName(grouped.select(F.col("b").alias("id"), F.col("b").alias("group")).distinct())
     joined = stars(stored(_verified(plain.select("id", "text"), stored(members, "alike-members")), "alike-links"))
     nodes = signed.groupBy("id").agg(F.min("doc_id").alias("node"))

@@ -286,6 +286,20 @@ def test_distinct_documents_by_exact_likeness(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in simhash.distinct_documents(frame).collect()) == sorted(set(label)) and 12 < len(set(label)) < 50
 
 
+def test_distinct_documents_by_fingerprints(spark):
+    rng = random.Random(40524)  # a pair without a common MinHash key: only its fingerprints link it
+    base = [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(60)]
+    other = [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(60)]
+    near = base[:-6] + [f"new{k}" for k in range(6)]
+    texts = [" ".join(x) for x in (base, near, other)]
+    keys = simhash._band_keys(np.stack([simhash._minima(simhash._shingles(t.encode())) for t in texts[:2]]))
+    assert not set(keys[0]) & set(keys[1])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == {0: 0, 1: 0, 2: 2}
+    assert {r.doc_id: r.component_id for r in simhash.alike_documents(frame).collect()} == {0: 0, 1: 0, 2: 2}
+    assert sorted(r.doc_id for r in simhash.distinct_documents(frame).collect()) == [0, 2]
+
+
 def test_fm_index():
     rng = np.random.default_rng(7)
     text = rng.integers(1, 5, 400)
